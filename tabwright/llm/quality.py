@@ -112,13 +112,10 @@ def host_rates(flagged: DataFrame, host: str) -> DataFrame:
     """
     counts = flagged.groupBy(host).agg(F.count(F.lit(1)).alias("n_docs"), F.count_if(F.col("hard") | F.col("soft")).alias("n_failed"))
     raw = F.col("n_failed") / F.col("n_docs")
-    prior = counts.agg(F.avg(raw).alias("mean"), F.coalesce(F.var_pop(raw), F.lit(0.0)).alias("variance"))
-    weight = F.when(F.col("variance") > 0, F.greatest(F.col("mean") * (1 - F.col("mean")) / F.nullif("variance", F.lit(0.0)) - 1, F.lit(0.0))).otherwise(0.0)
-    return (
-        counts.join(F.broadcast(prior.select("mean", weight.alias("weight"))))  # a single row
-        .withColumn("rate", (F.col("n_failed") + F.col("mean") * F.col("weight")) / (F.col("n_docs") + F.col("weight")))
-        .select(host, "n_docs", "n_failed", "rate")
-    )
+    prior = counts.agg(F.avg(raw).alias("mean"), F.var_pop(raw).alias("variance")).first()  # two numbers
+    mean, variance = prior["mean"] or 0.0, prior["variance"] or 0.0
+    weight = max(0.0, mean * (1 - mean) / variance - 1) if variance > 0 else 0.0
+    return counts.select(host, "n_docs", "n_failed", ((F.col("n_failed") + mean * weight) / (F.col("n_docs") + weight)).alias("rate"))
 
 
 def judge(flagged: DataFrame, host: str, rules: QualityRules) -> DataFrame:

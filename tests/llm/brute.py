@@ -80,3 +80,75 @@ def op9(text):
     covered = {k + d for k, w in enumerate(windows) if times[w] > 1 for d in range(5)}
     failed = len(words) < 10 or 100 * len(covered) > 20 * len(words)
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered), failed
+
+
+def op1_next(docs):
+    """docs: (doc_id, text) -> {doc_id: (n_chars, edited text, next id)}."""
+    order = sorted(docs, key=lambda d: -d[0])
+    out = {}
+    for k, (i, t) in enumerate(order):
+        t = t or ""
+        j, following = order[(k + 1) % len(order)]
+        half = len(t) // 2
+        out[i] = (len(t), t[: len(t) - half] + (following or "")[:half], j)
+    return out
+
+
+PII = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(digits):
+    total = 0
+    for k, d in enumerate(reversed(digits)):
+        x = int(d) * (1 + k % 2)
+        total += x - 9 * (x > 9)
+    return total % 10 == 0
+
+
+def pii_passes(kind, value):
+    digits = re.sub("[^0-9]", "", value)
+    if kind == "ip":
+        return all(int(x) <= 255 for x in value.split("."))
+    if kind == "card":
+        return 13 <= len(digits) <= 19 and luhn(digits)
+    if kind == "phone":
+        return 9 <= len(digits) <= 15
+    return True
+
+
+def op2(text):
+    """[(kind, start, end)] by kind, then start."""
+    return [(k, m.start(), m.end()) for k, p in PII.items() for m in re.finditer(p, text or "") if pii_passes(k, m[0])]
+
+
+def op5(text):
+    """[(kind, start, end)] by start, then kind."""
+    text, found = text or "", []
+    assign = r"""((?i:p)(?i:assword)|(?i:passwd)|(?i:secret)|(?i:token)|(?i:api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    found += [(m.start(), 0, m.end(), "assign") for m in re.finditer(assign, text, re.ASCII) if len(m[2]) >= 6]
+    found += [(m.start(), 1, m.end(), "access") for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    found += [(m.start(), 2, m.end(), "hex") for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24]
+    return [(k, a, b) for a, _, b, k in sorted(found)]
+
+
+def spelled(spans):
+    return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+
+
+def op3(text):
+    """(n_words, n_base, first, last, base labels) of a text."""
+    lowered = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered)
+    places, labels = [], set()
+    for phrase, label in (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")):
+        wanted = phrase.split()
+        for k in range(len(words)):
+            if words[k : k + len(wanted)] == wanted:
+                places.append(k)
+                labels.add(label)
+    return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))
