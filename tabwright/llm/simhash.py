@@ -7,12 +7,13 @@ bits with that bit wild. Two fingerprints then meet under the plain key of a
 segment that agrees, or, once only, under the key whose wild bit is the one that
 differs. Meeting pairs are verified by counting the bits that differ.
 
-Buckets are never expanded into all their pairs. Two pivots in a bucket, its
-least and its greatest fingerprint, take star links from all members within
-range, which joins a group of near copies at a linear cost. Only buckets that
-still hold several components are searched on, and there only the members
-outside the bucket's largest component are compared with the rest, so no link
-between different components is lost and no link inside one is emitted again.
+Buckets are never expanded into all their pairs. Of a bucket of two or three, a
+row of aggregates holds all members. In a larger bucket two pivots, its least and
+its greatest fingerprint, take star links from all members within range, which
+joins a group of near copies at a linear cost. Only buckets that still hold
+several components are searched on, and there only the members outside the
+bucket's largest component are compared with the rest, so no link between
+different components is lost and no link inside one is emitted again.
 
 Fingerprints, not documents, are the nodes: copies collapse first.
 """
@@ -33,45 +34,48 @@ from tabwright.llm.components import connected_components
 BITS = 64
 
 
-def _bits_over_half(hashes: list[int]) -> int:
-    """A bit is 1 if it is set in over half the hashes."""
-    if len(hashes) == 1:
-        return hashes[0]
-    ones = np.zeros(BITS, dtype=np.int64)
-    for at in range(0, len(hashes), 65_536):  # bounded memory for very long texts
-        block = np.array(hashes[at : at + 65_536], dtype=">u8").view(np.uint8).reshape(-1, 8)
+def _bits_over_half(digests: list[bytes]) -> bytes:
+    """A bit is 1 if it is set in over half the digests, which are of one length."""
+    if len(digests) == 1:
+        return digests[0]
+    width = len(digests[0])
+    ones = np.zeros(8 * width, dtype=np.int64)
+    for at in range(0, len(digests), 65_536):  # bounded memory for very long texts
+        block = np.frombuffer(b"".join(digests[at : at + 65_536]), dtype=np.uint8).reshape(-1, width)
         ones += np.unpackbits(block, axis=1).sum(axis=0, dtype=np.uint32)
-    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+    return np.packbits(2 * ones > len(digests)).tobytes()
 
 
-def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
-    """The signed 64-bit SimHash of a text's word shingles; 0 without words or for null.
+def fingerprint(text: str | None, shingle: int = 4, words: int = 1, seed: int = 42) -> list[int]:
+    """A text's SimHash over its word shingles, as signed 64-bit words; all 0 without words or for null.
 
     A-Z are lowered, words are runs of other than space and \\t to \\r, a shingle
-    is so many words joined by spaces (fewer words: all of them), repeats count
-    each time, and each is hashed by XXH64 of its UTF-8 bytes.
+    is so many words joined by spaces (fewer words: all of them) and repeats count
+    each time. Shingles are hashed as UTF-8 by XXH64 for one word of 64 bits and
+    by XXH3 of 128 bits for two.
     """
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    digest = xxhash.xxh64_intdigest
-    if len(words) <= shingle:
+    digest = {1: xxhash.xxh64_digest, 2: xxhash.xxh3_128_digest}[words]
+    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not parts:
+        return [0] * words
+    joined = b" ".join(parts)
+    if len(parts) <= shingle:
         found = digest(joined, seed)
     else:
-        ends = np.cumsum([len(w) + 1 for w in words])
-        starts = [0, *ends[: len(words) - shingle].tolist()]
+        ends = np.cumsum([len(w) + 1 for w in parts])
+        starts = [0, *ends[: len(parts) - shingle].tolist()]
         stops = (ends[shingle - 1 :] - 1).tolist()
         found = _bits_over_half([digest(joined[a:b], seed) for a, b in zip(starts, stops, strict=True)])
-    return found - (1 << 64) if found >> 63 else found
+    return np.frombuffer(found, dtype=">i8").tolist()
 
 
-def simhash(text: Column, shingle: int = 4, seed: int = 42) -> Column:
-    """``fingerprint`` as a column, in Arrow batches."""
+def simhash(text: Column, shingle: int = 4, words: int = 1, seed: int = 42) -> Column:
+    """``fingerprint`` as a struct of bigints f0, f1, ..., in Arrow batches."""
+    names = [f"f{i}" for i in range(words)]
 
-    @F.pandas_udf("long")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint(t, shingle, seed) for t in texts], dtype="int64")
+    @F.pandas_udf(", ".join(f"{n} long" for n in names))
+    def run(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([fingerprint(t, shingle, words, seed) for t in texts], columns=names, dtype="int64")
 
     return run(text)
 
@@ -92,74 +96,104 @@ def _signed(x: int) -> int:
 
 
 def signature_rows(nodes: DataFrame, words: list[str], count: int) -> DataFrame:
-    """Index rows (key, node, words, bit) of every node: a plain row and one row for each wild bit, by segment.
+    """Index rows (key, words) of every node: for each segment a plain row and one row for each wild bit.
 
-    bit is null for a plain key, else the value of the wild bit.
+    A key has the variant's number above bit 44 (``_wild_bit``) and the segment's
+    other bits below.
     """
     variants = []
-    for w, word in enumerate(words):
+    for w in range(len(words)):
         for s, (low, width) in enumerate(segments(count)):
             mask = ((1 << width) - 1) << low
-            plain = f"struct({(w * (BITS + count) + BITS + s)}L AS v, {_signed(mask)}L AS mask, {low} AS low, -1 AS wild, {w} AS w)"
-            variants.append(plain)
-            for i in range(low, low + width):
-                variants.append(f"struct({w * (BITS + count) + i}L AS v, {_signed(mask & ~(1 << i))}L AS mask, {low} AS low, {i} AS wild, {w} AS w)")
-    each = nodes.select("node", *words, F.expr(f"inline(array({', '.join(variants)}))").alias("v", "mask", "low", "wild", "w"))
-    word = F.expr("CASE w " + " ".join(f"WHEN {w} THEN {name}" for w, name in enumerate(words)) + " END") if len(words) > 1 else F.col(words[0])
-    each = each.withColumn("word", word)
-    # A variant's number above, the segment's bits (44 at most) below.
-    key = F.expr("shiftleft(v, 44) | shiftrightunsigned(word & mask, low)")
-    bit = F.expr("CASE WHEN wild >= 0 THEN cast(shiftrightunsigned(word, wild) & 1 AS int) END")
-    return each.select(key.alias("key"), "node", *words, bit.alias("bit"))
+            first = w * (BITS + count)
+            variants.append(f"struct({first + BITS + s}L AS v, {_signed(mask)}L AS mask, {low} AS low, {w} AS w)")
+            variants += [f"struct({first + i}L AS v, {_signed(mask & ~(1 << i))}L AS mask, {low} AS low, {w} AS w)" for i in range(low, low + width)]
+    each = nodes.select(*words, F.expr(f"inline(array({', '.join(variants)}))").alias("v", "mask", "low", "w"))
+    word = f"CASE w {' '.join(f'WHEN {w} THEN {name}' for w, name in enumerate(words))} END" if len(words) > 1 else words[0]
+    return each.select(F.expr(f"shiftleft(v, 44) | shiftrightunsigned({word} & mask, low)").alias("key"), *words)
 
 
-def _distance(words: list[str], left: str, right: str) -> Column:
-    return sum((F.bit_count(F.col(f"{left}.{w}").bitwiseXOR(F.col(f"{right}.{w}"))) for w in words[1:]), F.bit_count(F.col(f"{left}.{words[0]}").bitwiseXOR(F.col(f"{right}.{words[0]}"))))
+def _wild_bit(words: list[str], count: int) -> Column:
+    """Value of the bit that is wild in a row's key; null for a plain key."""
+    place = f"(shiftrightunsigned(key, 44) % {BITS + count})"
+    word = f"CASE shiftrightunsigned(key, 44) div {BITS + count} {' '.join(f'WHEN {w} THEN {name}' for w, name in enumerate(words))} END"
+    return F.expr(f"CASE WHEN {place} < {BITS} THEN cast(shiftrightunsigned({word}, cast({place} AS int)) & 1 AS int) END")
+
+
+def _distance(words: list[str], a: str, b: str) -> Column:
+    """Bits in which two structs, or aliased tables, of words differ."""
+    each = [F.bit_count(F.col(f"{a}.{w}").bitwiseXOR(F.col(f"{b}.{w}"))) for w in words]
+    return sum(each[1:], each[0])
+
+
+def _node(words: list[str], of: str | None = None) -> Column:
+    """A fingerprint's number: itself, or a hash of its words."""
+    names = [f"{of}.{w}" if of else w for w in words]
+    return F.col(names[0]) if len(names) == 1 else F.xxhash64(*names)
+
+
+def _buckets(rows: DataFrame, words: list[str]) -> DataFrame:
+    """(key, members, lo, hi, mid) of each key: least and greatest fingerprint, and of three the third."""
+    if len(words) == 1:  # plain numbers aggregate by hash
+        ends = [F.struct(f(words[0]).alias(words[0])).alias(n) for f, n in ((F.min, "lo"), (F.max, "hi"))]
+    else:
+        ends = [F.min(F.struct(*words)).alias("lo"), F.max(F.struct(*words)).alias("hi")]
+    found = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members"), *ends, *[F.bit_xor(w).alias(f"xor_{w}") for w in words])
+    mid = F.struct(*[F.col(f"xor_{w}").bitwiseXOR(F.col(f"lo.{w}")).bitwiseXOR(F.col(f"hi.{w}")).alias(w) for w in words])
+    return found.select("key", "members", "lo", "hi", mid.alias("mid"))
 
 
 def link_components(nodes: DataFrame, words: list[str], max_bits: int, count: int | None = None, label: str = "simhash") -> DataFrame:
     """(node, root) of every node linked to another, root the least node reachable.
 
-    nodes: a row for each distinct fingerprint, with a bigint ``node`` and 64-bit
-    ``words`` (never null). Nodes link at max_bits or fewer differing bits over all
-    words. With ``count`` segments in each word the search is complete up to
-    2 * count * len(words) - 1 bits; beyond that it finds the pairs that agree in
-    a segment but for one bit.
+    nodes: a row for each distinct fingerprint of 64-bit ``words`` (never null).
+    A node's number is its only word, or a hash of its words. Nodes link at
+    max_bits or fewer differing bits over all words. With ``count`` segments in
+    each word the search is complete up to 2 * count * len(words) - 1 bits; beyond
+    that it finds the pairs that agree in a segment but for one bit.
     """
     count = count or segments_needed(max_bits)
     rows = signature_rows(nodes, words, count)
-    packed = F.struct(*words, "node")
-    buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min(packed).alias("lo"), F.max(packed).alias("hi"))
-    shared = buckets.filter("members > 1").select("key", "lo", "hi")
-    index = materialize(rows.join(shared.hint("shuffle_hash"), "key"), f"{label}-index")
 
     def near(a: str, b: str) -> Column:
         return _distance(words, a, b) <= max_bits
 
-    me = index.select(F.struct(*words, "node").alias("x"), "lo", "hi")
-    stars = me.filter((F.col("x.node") != F.col("lo.node")) & near("x", "lo")).select(F.col("x.node").alias("a"), F.col("lo.node").alias("b"))
-    stars = stars.union(me.filter((F.col("x.node") != F.col("hi.node")) & near("x", "hi")).select(F.col("x.node").alias("a"), F.col("hi.node").alias("b")))
+    # A bucket of two or three is decided by its row alone, and forgotten if its members are far apart.
+    pairs = [("lo", "hi"), ("lo", "mid"), ("hi", "mid")]
+    near_pairs = F.filter(
+        F.array(*[F.when(near(a, b) & ((F.col("members") == 3) if "mid" in (a, b) else F.lit(True)), F.struct(_node(words, a).alias("a"), _node(words, b).alias("b"))) for a, b in pairs]),
+        lambda x: x.isNotNull(),
+    )
+    found = _buckets(rows, words).filter("members > 1").withColumn("links", F.when(F.col("members") < 4, near_pairs))
+    found = materialize(found.filter("members > 3 OR size(links) > 0").select("key", "lo", "hi", "links"), f"{label}-buckets")
+    small = found.filter("links IS NOT NULL").select(F.explode("links").alias("l")).select("l.a", "l.b")
+
+    # Larger buckets: star links to two pivots.
+    large = found.filter("links IS NULL").select("key", "lo", "hi")
+    index = materialize(rows.join(large.hint("shuffle_hash"), "key"), f"{label}-index")
+    me = index.select(F.struct(*words).alias("x"), "lo", "hi")
+    stars = small
+    for pivot in ("lo", "hi"):
+        stars = stars.unionAll(me.filter(near("x", pivot)).select(_node(words, "x").alias("a"), _node(words, pivot).alias("b")).filter("a <> b"))
     first = materialize(connected_components(stars, f"{label}-stars"), f"{label}-first")
 
     # What the pivots left apart: members of a bucket in different components.
-    placed = index.select("key", "node", *words, "bit").join(first, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    placed = materialize(placed, f"{label}-placed")
+    placed = index.select("key", *words, _node(words).alias("node"), _wild_bit(words, count).alias("bit"))
+    placed = materialize(placed.join(first, "node", "left").withColumn("root", F.coalesce("root", "node")), f"{label}-placed")
     sizes = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("members"))
     split = sizes.groupBy("key").agg(F.max_by("root", F.struct("members", "root")).alias("major"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("key", "major")
     open_rows = materialize(placed.join(split, "key"), f"{label}-open")
-    minor = open_rows.filter("root <> major").alias("l")
     # Under a wild key the bit itself differs; under a plain key nothing does.
     apart = F.coalesce(F.col("l.bit") != F.col("r.bit"), F.lit(True))
-    links = (
-        minor.join(open_rows.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.root") != F.col("r.root")) & apart & near("l", "r"))
-        .select(F.col("l.root").alias("a"), F.col("r.root").alias("b"))
-    )
+    minor = open_rows.filter("root <> major").alias("l")
+    links = minor.join(
+        open_rows.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.root") != F.col("r.root")) & apart & near("l", "r")
+    ).select(F.col("l.root").alias("a"), F.col("r.root").alias("b"))
     second = materialize(connected_components(links, f"{label}-links"), f"{label}-second")
+    known = first.unionAll(second.select("node", F.col("node").alias("root")).join(first.select("node"), "node", "left_anti"))
     onward = second.select(F.col("node").alias("root"), F.col("root").alias("top"))
-    known = first.union(second.select("node", F.col("node").alias("root")).join(first.select("node"), "node", "left_anti"))
-    found = known.join(onward, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-    result = materialize(found, f"{label}-linked")
-    for done in (index, first, placed, open_rows, second):
+    result = materialize(known.join(onward, "root", "left").select("node", F.coalesce("top", "root").alias("root")), f"{label}-linked")
+    for done in (found, index, first, placed, open_rows, second):
         discard(done)
     return result
 
@@ -168,20 +202,19 @@ def near_duplicate_classes(fingerprints: DataFrame, words: list[str], id_col: st
     """Class of every distinct fingerprint that several rows or links share.
 
     fingerprints: id_col and words, one row a document; never null words. Returns
-    (words, component_id): the least id_col in reach over links of max_bits or
-    fewer differing bits, null ids passed over (null if all are). Fingerprints of
-    one row without links aren't listed; they are classes of their own.
+    (words, class, component_id): a number of the class, and the least id_col in
+    reach over links of max_bits or fewer differing bits, null ids passed over
+    (null if all are). Fingerprints of one row without links aren't listed; they
+    are classes of their own.
     """
-    node = F.col(words[0]) if len(words) == 1 else F.xxhash64(*words)
     distinct = materialize(
-        fingerprints.groupBy(*words).agg(F.min(id_col).alias("least"), F.count(F.lit(1)).alias("copies")).withColumn("node", node), f"{label}-distinct"
+        fingerprints.groupBy(*words).agg(F.min(id_col).alias("least"), F.count(F.lit(1)).alias("copies")).withColumn("node", _node(words)), f"{label}-distinct"
     )
-    linked = link_components(distinct.select("node", *words), words, max_bits, count, label)
-    rooted = distinct.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    of_links = rooted.join(linked.select("node"), "node", "left_semi")
+    linked = link_components(distinct.select(*words), words, max_bits, count, label)
+    of_links = distinct.join(linked, "node")
     tops = of_links.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_links = of_links.join(tops, "root").select(*words, "component_id")
-    by_copies = distinct.filter("copies > 1").join(linked.select("node"), "node", "left_anti").select(*words, F.col("least").alias("component_id"))
+    by_links = of_links.join(tops, "root").select(*words, F.col("root").alias("class"), "component_id")
+    by_copies = distinct.filter("copies > 1").join(linked.select("node"), "node", "left_anti").select(*words, F.col("node").alias("class"), F.col("least").alias("component_id"))
     return by_links.union(by_copies)
 
 
@@ -194,7 +227,8 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     component unless no other id is in reach (then null). An empty table gives an
     empty result; other columns are passed over.
     """
-    prints = materialize(docs.select(F.col(id_col).alias("doc_id"), simhash(F.col(text_col), shingle).alias("f0")), f"{label}-prints")
+    prints = docs.select(F.col(id_col).alias("doc_id"), simhash(F.col(text_col), shingle).alias("f")).select("doc_id", "f.*")
+    prints = materialize(prints, f"{label}-prints")
     classes = near_duplicate_classes(prints, ["f0"], "doc_id", max_bits, label=label)
     return prints.join(classes, "f0", "left").select(
         "doc_id",
@@ -203,6 +237,28 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     )
 
 
+def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 5, similarity: float = 0.8, label: str = "dedup") -> DataFrame:
+    """The rows of docs without near duplicates: of each class the row of the least id (null last) stays.
+
+    Texts are near duplicates at an estimated Jaccard similarity of so much or more
+    between their sets of shingles: 128-bit SimHashes that differ in no more bits
+    than that similarity makes likely (``bits_for_similarity``). Their six segments
+    are searched: links of up to 11 differing bits are all found, those beyond when
+    they agree in a segment but for one bit. Texts without words are all alike. Of
+    rows of one id in a class, one stays. All columns of docs are returned, and no
+    others; they are carried in one struct, so their names don't matter.
+    """
+    carried = docs.select(F.struct("*").alias("__row"), simhash(F.col(text_col), shingle, words=2).alias("__f"))
+    rows = materialize(carried.withColumn("__at", F.monotonically_increasing_id()), f"{label}-rows")
+    prints = rows.select("__at", F.col(f"__row.{id_col}").alias("id"), "__f.*")
+    classes = near_duplicate_classes(prints, ["f0", "f1"], "id", bits_for_similarity(similarity, 128), count=3, label=label)
+    members = materialize(prints.join(classes, ["f0", "f1"]).select("__at", "id", "class"), f"{label}-members")
+    first = members.groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__at")).alias("first")).select("first.__at")
+    # Rows to drop, by a key that each has alone.
+    others = members.select("__at").join(first, "__at", "left_anti")
+    return rows.join(others, "__at", "left_anti").select("__row.*")
+
+
 def bits_for_similarity(similarity: float, bits: int) -> int:
     """Differing bits at which two shingle sets have so high a Jaccard similarity, by SimHash's angle.
 
