@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +28,20 @@ def scratch_root(spark: SparkSession) -> str:
     return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
 
 
+_records: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def recording() -> Iterator[list[str]]:
+    """The paths of the tables that are materialized meanwhile."""
+    paths: list[str] = []
+    _records.append(paths)
+    try:
+        yield paths
+    finally:
+        _records.remove(paths)
+
+
 def materialize(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Write df to the shared folder and read it back.
 
@@ -34,18 +50,23 @@ def materialize(df: DataFrame, label: str, compression: str = "snappy") -> DataF
     """
     path = f"{scratch_root(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path, compression=compression)
+    for paths in _records:
+        paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def discard(df: DataFrame) -> None:
     """Delete the files of a materialized table that no later plan reads."""
-    spark = df.sparkSession
-    folders = {name.rpartition("/")[0] for name in df.inputFiles()}
-    root = scratch_root(spark).removeprefix("file:").lstrip("/")
-    for folder in folders:
+    root = scratch_root(df.sparkSession).removeprefix("file:").lstrip("/")
+    for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:
         if root in folder:
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            discard_path(df.sparkSession, folder)
+
+
+def discard_path(spark: SparkSession, folder: str) -> None:
+    """Delete a materialized table by its path."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partition_offsets(df: DataFrame, amount: Column, part: Column) -> DataFrame:

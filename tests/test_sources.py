@@ -162,3 +162,16 @@ def test_excel(spark, tmp_path):
     assert rows(back) == [(1, 1.5, "a<b&", "TRUE", dt.datetime(2024, 1, 2)), (2, None, None, "FALSE", None), (None, None, "z", None, None)]
     with pytest.raises(ValueError):
         load_excel(spark, "old.xls")
+
+
+def test_loaders(spark, tmp_path):
+    from tabwright.sources.loaders import LOADERS, CsvLoader, Loader, load
+
+    assert all(isinstance(x, Loader) for x in LOADERS.values()) and isinstance(CsvLoader(), Loader)
+    assert rows(load(spark, put(tmp_path, "a\n1\n", "x.csv"))) == [(1,)]
+    frame = load(spark, put(tmp_path, '[{"a": 5}]', "x.json"))
+    assert list(frame.cells("a")) == [5]
+    frame.write_parquet(str(tmp_path / "t.parquet"))
+    assert rows(load(spark, str(tmp_path / "t.parquet"))) == [(5,)]
+    with pytest.raises(ValueError):
+        load(spark, "x.bin")
