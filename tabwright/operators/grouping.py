@@ -174,7 +174,9 @@ class Grouping:
             if order:
                 rows = rows.sort_values(order, ignore_index=True)
             found = function(rows if any(n in order for n in names) else rows.drop(columns=order))
-            return pd.DataFrame({n: [] for n in names}) if found is None else found[names]
+            if found is None:
+                return pd.DataFrame({n: pd.Series([], dtype=object) for n in names})
+            return found[names]
 
         keep_order = all(o in names for o in order) and bool(order)
         return self.frame.of(self.frame.data.groupBy(*self.keys).applyInPandas(run, visible), ordered=keep_order)

@@ -17,6 +17,10 @@ from tabwright.sources.inference import Cell, infer
 from tabwright.sources.options import CsvOptions, LoadOptions
 
 
+#: Holds a row's text where it has another number of fields than the header.
+_BROKEN = "__broken"
+
+
 def normalize_headers(raw: list[str | None]) -> list[str]:
     """Trimmed names; blank ones by their place, ones that come again numbered."""
     times: dict[str, int] = {}
@@ -40,6 +44,7 @@ def _reader(spark: SparkSession, options: CsvOptions):
         .option("encoding", options.encoding)
         .option("multiLine", options.multi_line)
         .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", _BROKEN)
         .option("emptyValue", "")
         .option("nullValue", "\0")
     )
@@ -62,7 +67,7 @@ def load_csv(spark: SparkSession, path: str, options: LoadOptions | None = None)
     head = [None if v is None else v.removeprefix("﻿") for v in probe[0]]
     width = len(head)
     names = normalize_headers(head) if options.has_header else [f"Column{i}" for i in range(width)]
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
+    schema = T.StructType([*(T.StructField(f"c{i}", T.StringType()) for i in range(width)), T.StructField(_BROKEN, T.StringType())])
     raw = with_scan_position(_reader(spark, options).schema(schema).csv(path).select("*", F.col("_metadata.file_path").alias("__file")))
     # A line of spaces is one field of spaces and no others.
     blank = F.coalesce(F.trim(F.regexp_replace("c0", "\ufeff", "")), F.lit("")) == ""
@@ -71,12 +76,23 @@ def load_csv(spark: SparkSession, path: str, options: LoadOptions | None = None)
     rows = raw.filter(~blank)
     if options.has_header:
         rows = _without_first(rows)
-    cells = {n: Cell(_cell(F.col(f"c{i}"), options)) for i, n in enumerate(names)}
+    cells = {n: Cell(_cell(i, width, options)) for i, n in enumerate(names)}
     return infer(rows, cells, options.categorical_threshold)
 
 
-def _cell(c: Column, options: CsvOptions) -> Column:
-    return F.when(c != "", c) if options.empty_as_null else c
+def _cell(i: int, width: int, options: CsvOptions) -> Column:
+    """A field's text. Spark reads an empty field as null, and so the end of a short row.
+
+    Where empty fields are to stay text, nulls become empty again, but for those at
+    the end of a row of another length than the header's.
+    """
+    c = F.col(f"c{i}")
+    if options.empty_as_null:
+        return F.when(c != "", c)
+    ended = F.lit(True)
+    for k in range(i, width):
+        ended = ended & F.col(f"c{k}").isNull()
+    return F.when(c.isNull() & F.col(_BROKEN).isNotNull() & ended, F.lit(None)).otherwise(F.coalesce(c, F.lit("")))
 
 
 def _without_first(rows: DataFrame) -> DataFrame:

@@ -81,6 +81,7 @@ def test_errors(nulls):
 
 def test_pushed_to_the_scan(spark):
     frame = Frame.read_parquet(spark, "/root/testdata/sf0.001/lineitem.parquet")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     plan = frame.where(frame["l_quantity"].greater_than(45.0) & frame["l_returnflag"].equals("R")).select("l_orderkey").to_spark()
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(l_quantity,45.0)" in text and "EqualTo(l_returnflag,R)" in text
