@@ -11,16 +11,16 @@ WITH docs AS (
   SELECT row_number() OVER () AS row_id, doc_id, source AS host, coalesce(text, '') AS t FROM documents),
 words AS (
   SELECT row_id, doc_id, host, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
-    list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM docs),
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM docs),
 grams AS (
-  SELECT row_id, unnest(range(1, len(w) - 3)) AS p, unnest(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))) AS gram
+  SELECT row_id, unnest(range(1, len(w) - 3)) AS p, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS gram
   FROM words WHERE len(w) >= 5),
 twice AS (SELECT row_id, p FROM (SELECT *, count(*) OVER (PARTITION BY row_id, gram) AS n FROM grams) WHERE n > 1),
 covered AS (
   SELECT row_id, sum(least(5, coalesce(p - before, 5))) AS n FROM
   (SELECT *, lag(p) OVER (PARTITION BY row_id ORDER BY p) AS before FROM twice) GROUP BY row_id),
 measured AS (
-  SELECT row_id, doc_id, host, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, x -> length(x))), 0)::BIGINT AS word_chars,
+  SELECT row_id, doc_id, host, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
     (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
     len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words
   FROM words LEFT JOIN covered USING (row_id)),
@@ -51,7 +51,7 @@ captures AS (
     regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([^/?#]+)', 1) AS segment FROM pages),
 labels AS (SELECT *, string_split(host, '.') AS l FROM captures),
 keys AS (
-  SELECT page_id, fetched_at, unnest(list_transform(range(1, len(l) + 1), i -> array_to_string(l[i:], '.'))) AS entry FROM labels WHERE host <> ''
+  SELECT page_id, fetched_at, unnest(list_transform(range(1, len(l) + 1), lambda i: array_to_string(l[i:], '.'))) AS entry FROM labels WHERE host <> ''
   UNION ALL SELECT page_id, fetched_at, host || '/' || segment FROM labels WHERE host <> '' AND segment <> ''),
 held AS (
   SELECT page_id, entry, action, valid_from, row_number() OVER (PARTITION BY page_id ORDER BY length(entry) DESC, entry DESC) AS place,
