@@ -99,7 +99,7 @@ def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatc
     held, size = [], 0
     for row in rows:
         held.append(row)
-        size += sum(len(x) if isinstance(x, bytes) else 8 for x in row)
+        size += sum(len(x) if isinstance(x, (bytes, str)) else 8 for x in row)
         if size >= BATCH_BYTES:
             yield _batch(held, schema)
             held, size = [], 0
@@ -177,8 +177,8 @@ def _encode_dictionary(path: str):
     return run
 
 
-def _encode_alone(path: str, shared):
-    """Ids of the texts without shared cores."""
+def _encode_alone(path: str, shared, decoded: bool):
+    """Ids of the texts without shared cores, and the text that these ids decode to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = bpe.load(path)
@@ -187,9 +187,11 @@ def _encode_alone(path: str, shared):
             def rows() -> Iterator[tuple]:
                 for doc_id, raw in _texts([batch]):
                     if all(digest is None for digest, _, _ in _parts(raw, shared.value)):
-                        yield doc_id, _ids(coder, raw)
+                        ids = coder.encode(raw.decode())
+                        yield doc_id, np.array(ids, dtype="<u4").tobytes(), *([coder.decode(ids)] if decoded else [])
 
-            yield from _batches(rows(), pa.schema([("doc_id", batch.schema.field("doc_id").type), ("ids", pa.binary())]))
+            kinds = [("ids", pa.binary()), *([("decoded", pa.string())] if decoded else [])]
+            yield from _batches(rows(), pa.schema([("doc_id", batch.schema.field("doc_id").type), *kinds]))
 
     return run
 
@@ -232,9 +234,12 @@ def shared_filter(texts: DataFrame) -> np.ndarray:
     return table.view(np.uint8)
 
 
-def encode(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", tokenizer: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", tokenizer: str | None = None, decoded: bool = False) -> DataFrame:
     """(doc_id, ids), a row for each row of docs; ids are little-endian unsigned 32-bit integers.
 
+    decoded: also the text that the ids decode to, which spares handing the ids to
+    a further Python worker.
+
     The ids are those of the tokenizers library for the whole text without added
     special tokens. A null or empty text has no ids. Repeated rows and null ids
     keep their rows; an empty table gives none; other columns are passed over.
@@ -247,7 +252,7 @@ def encode(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", toke
     shared = docs.sparkSession.sparkContext.broadcast(shared_filter(texts))
     cores = texts.mapInArrow(_dictionary_texts(shared), "hash binary, core binary").groupBy("hash").agg(F.min("core").alias("core"))
     dictionary = materialize(cores.mapInArrow(_encode_dictionary(path), "hash binary, ids binary"), "bpe-dictionary", compression="zstd")
-    alone = texts.mapInArrow(_encode_alone(path, shared), f"{id_field}, ids binary")
+    alone = texts.mapInArrow(_encode_alone(path, shared, decoded), f"{id_field}, ids binary" + ", decoded string" * decoded)
     parts = keyed.mapInArrow(_encode_parts(path, shared), f"{id_field}, key long, place long, hash binary, own binary")
     whole = (
         parts.join(dictionary, "hash", "left")
@@ -256,7 +261,8 @@ def encode(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", toke
         .agg(F.min("doc_id").alias("doc_id"), F.collect_list("part").alias("parts"))  # of one document
     )
     joined = F.unhex(F.array_join(F.transform(F.sort_array("parts"), lambda part: F.hex(part["ids"])), ""))
-    return alone.unionAll(whole.select("doc_id", joined.alias("ids")))
+    found = whole.select("doc_id", joined.alias("ids"))
+    return alone.unionAll(found.withColumn("decoded", decode(F.col("ids"), path)) if decoded else found)
 
 
 def decode(ids: Column, tokenizer: str | None = None) -> Column:
