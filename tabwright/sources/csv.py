@@ -6,12 +6,14 @@ splits of files; the driver sees the header line alone.
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabwright.frame import Frame
-from tabwright.operators.position import POSITION, with_scan_position
+from tabwright.operators.position import with_scan_position
 from tabwright.sources.files import single_file
 from tabwright.sources.inference import Cell, infer
 from tabwright.sources.options import CsvOptions, LoadOptions
@@ -34,11 +36,8 @@ def normalize_headers(raw: list[str | None]) -> list[str]:
 
 
 def _reader(spark: SparkSession, options: CsvOptions):
-    # No header and no schema of Spark's own: all fields as text.
     return (
-        spark.read.option("header", False)
-        .option("inferSchema", False)
-        .option("sep", options.delimiter)
+        spark.read.option("sep", options.delimiter)
         .option("quote", options.quote)
         .option("escape", options.quote)
         .option("encoding", options.encoding)
@@ -59,23 +58,19 @@ def load_csv(spark: SparkSession, path: str, options: LoadOptions | None = None)
     if not path or not path.strip():
         raise ValueError("load_csv needs a path")
     options = CsvOptions.of(options)
-    lines = spark.read.text(path).filter(F.trim(F.regexp_replace("value", "[\\s\\ufeff]+", " ")) != "")
-    first = lines.limit(1).collect()
-    if not first:
+    lines = spark.read.option("encoding", options.encoding).text(path).select(F.regexp_replace("value", "^\ufeff", "").alias("value"))
+    first = lines.filter(F.trim(F.regexp_replace("value", "\\s+", " ")) != "").first()
+    if first is None:
         raise ValueError(f"{path} is empty")
-    probe = _reader(spark, options).csv(path).limit(1).collect()
-    head = [None if v is None else v.removeprefix("﻿") for v in probe[0]]
+    head = next(csv.reader([first["value"]], delimiter=options.delimiter, quotechar=options.quote))
     width = len(head)
     names = normalize_headers(head) if options.has_header else [f"Column{i}" for i in range(width)]
     schema = T.StructType([*(T.StructField(f"c{i}", T.StringType()) for i in range(width)), T.StructField(_BROKEN, T.StringType())])
-    raw = with_scan_position(_reader(spark, options).schema(schema).csv(path).select("*", F.col("_metadata.file_path").alias("__file")))
-    # A line of spaces is one field of spaces and no others.
-    blank = F.coalesce(F.trim(F.regexp_replace("c0", "\ufeff", "")), F.lit("")) == ""
-    for i in range(1, width):
-        blank = blank & F.col(f"c{i}").isNull()
+    # With a schema of its own, Spark leaves out each file's header without looking at it.
+    raw = with_scan_position(_reader(spark, options).option("header", options.has_header).schema(schema).csv(path))
+    # A line of white space is a single field, so among several columns it is a broken row.
+    blank = F.coalesce(F.regexp_like(F.col(_BROKEN if width > 1 else "c0"), F.lit(r"^\s+$")), F.lit(False))
     rows = raw.filter(~blank)
-    if options.has_header:
-        rows = _without_first(rows)
     cells = {n: Cell(_cell(i, width, options)) for i, n in enumerate(names)}
     return infer(rows, cells, options.categorical_threshold)
 
@@ -95,12 +90,6 @@ def _cell(i: int, width: int, options: CsvOptions) -> Column:
     return F.when(c.isNull() & F.col(_BROKEN).isNotNull() & ended, F.lit(None)).otherwise(F.coalesce(c, F.lit("")))
 
 
-def _without_first(rows: DataFrame) -> DataFrame:
-    """The rows without the one that each file begins with, its header."""
-    heads = rows.groupBy("__file").agg(F.min(POSITION).alias(POSITION)).select(POSITION)
-    return rows.join(heads, POSITION, "left_anti")
-
-
 def csv_cell(c: Column, kind: T.DataType) -> Column:
     """A cell as CSV text: null, NaN and infinities empty, dates without time where they have none."""
     if isinstance(kind, (T.DoubleType, T.FloatType)):

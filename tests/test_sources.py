@@ -43,6 +43,17 @@ def test_csv_ragged_quotes_blanks_bom(spark, tmp_path):
     assert rows(f) == [("1", None, None), ("1", "2", 3), ("x,y", 'a"b', None)]
 
 
+def test_csv_rows_of_empty_fields_stay(spark, tmp_path):
+    assert rows(load_csv(spark, put(tmp_path, "a,b\n1,2\n,\n \t \n3,4\n"))) == [(1, 2), (None, None), (3, 4)]
+    assert rows(load_csv(spark, put(tmp_path, "a\n1\n   \n2\n"))) == [(1,), (2,)]
+
+
+def test_csv_folder_of_files(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"p{i}.csv").write_text(f"a,b\n{i},x\n")
+    assert sorted(rows(load_csv(spark, str(tmp_path), NO_CATEGORIES))) == [(0, "x"), (1, "x"), (2, "x")]
+
+
 def test_csv_options(spark, tmp_path):
     assert rows(load_csv(spark, put(tmp_path, "a;b\n1;x\n"), CsvOptions.european())) == [(1, "x")]
     assert rows(load_csv(spark, put(tmp_path, "a\tb\n1\tx\n"), CsvOptions.tab())) == [(1, "x")]
