@@ -51,4 +51,5 @@ def running_totals(spark: SparkSession, path: str, key: str, value: str) -> Data
 
 def windowed_counts(events: DataFrame, time: str, window: str, late: str, key: str) -> DataFrame:
     """Events of each window and key; state of windows older than the watermark is dropped, and events later than it aren't counted."""
-    return events.withWatermark(time, late).groupBy(F.window(time, window), key).agg(F.count(F.lit(1)).alias("n"))
+    # Watermarks need instants; times without a zone are taken in the session's.
+    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, window), key).agg(F.count(F.lit(1)).alias("n"))
