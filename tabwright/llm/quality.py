@@ -151,7 +151,7 @@ def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source",
     measured = measure(carried, F.col(f"__row.{text_col}"))
     m = F.col("__m")
     flagged = measured.select("__row", F.col(f"__row.{host_col}").alias("host"), hard_failed(m, rules).alias("hard"), soft_failed(m, rules).alias("soft"))
-    flagged = materialize(flagged, "quality-rows")
+    flagged = materialize(flagged, "quality-rows", compression="zstd")
     hosts = host_rates(flagged.select("host", "hard", "soft"), "host")
     condemned = hosts.filter(F.col("rate") > rules.host_rate).select(F.col("host").alias("__host"))
     # Only rows that fail softly need their host's verdict.

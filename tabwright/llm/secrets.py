@@ -202,7 +202,7 @@ def remove_secrets(docs: DataFrame, text_col: str = "text", length_col: str | No
     ``find_secrets``.
     """
     found = secret_spans(docs.select(F.struct("*").alias("__row")), F.col(f"__row.{text_col}"))
-    found = materialize(found.withColumn("key", F.monotonically_increasing_id()), label)
+    found = materialize(found.withColumn("key", F.monotonically_increasing_id()), label, compression="zstd")
     tested = add_random(found.filter(F.size("random") > 0), how, label).select("__row", "spans")
     fixed = F.sort_array(F.concat(*[_ordered(k, F.col(k)) for k in KINDS[:3]]))
     rest = found.filter(F.size("random") == 0).select("__row", fixed.alias("spans"))

@@ -20,7 +20,9 @@ Fingerprints, not documents, are the nodes: copies collapse first.
 
 from __future__ import annotations
 
+import itertools
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,22 +30,23 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.llm.common import discard, materialize
+from tabwright.llm.common import bit_filter, discard, materialize, with_hit, without_keys
 from tabwright.llm.components import connected_components
 
 BITS = 64
 
 
-def _bits_over_half(digests: list[bytes]) -> bytes:
+#: Digests that a task holds at once, however long a text is.
+_BLOCK = 65_536
+
+
+def _bits_over_half(digests: Iterator[bytes], count: int, width: int) -> bytes:
     """A bit is 1 if it is set in over half the digests, which are of one length."""
-    if len(digests) == 1:
-        return digests[0]
-    width = len(digests[0])
     ones = np.zeros(8 * width, dtype=np.int64)
-    for at in range(0, len(digests), 65_536):  # bounded memory for very long texts
-        block = np.frombuffer(b"".join(digests[at : at + 65_536]), dtype=np.uint8).reshape(-1, width)
-        ones += np.unpackbits(block, axis=1).sum(axis=0, dtype=np.uint32)
-    return np.packbits(2 * ones > len(digests)).tobytes()
+    while block := list(itertools.islice(digests, _BLOCK)):
+        codes = np.frombuffer(b"".join(block), dtype=np.uint8).reshape(-1, width)
+        ones += np.unpackbits(codes, axis=1).sum(axis=0, dtype=np.uint32)
+    return np.packbits(2 * ones > count).tobytes()
 
 
 def fingerprint(text: str | None, shingle: int = 4, words: int = 1, seed: int = 42) -> list[int]:
@@ -65,7 +68,8 @@ def fingerprint(text: str | None, shingle: int = 4, words: int = 1, seed: int =
         ends = np.cumsum([len(w) + 1 for w in parts])
         starts = [0, *ends[: len(parts) - shingle].tolist()]
         stops = (ends[shingle - 1 :] - 1).tolist()
-        found = _bits_over_half([digest(joined[a:b], seed) for a, b in zip(starts, stops, strict=True)])
+        each = (digest(joined[a:b], seed) for a, b in zip(starts, stops, strict=True))
+        found = _bits_over_half(each, len(starts), 8 * words)
     return np.frombuffer(found, dtype=">i8").tolist()
 
 
@@ -95,29 +99,26 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def signature_rows(nodes: DataFrame, words: list[str], count: int) -> DataFrame:
-    """Index rows (key, words) of every node: for each segment a plain row and one row for each wild bit.
+def signature_rows(nodes: DataFrame, indexed: str, count: int) -> DataFrame:
+    """Index rows (key and the columns of nodes) by one of the words: for each segment a plain row and one row for each wild bit.
 
-    A key has the variant's number above bit 44 (``_wild_bit``) and the segment's
-    other bits below.
+    A key has the variant's number above bit 44, which is the wild bit's or from 64
+    on the plain segment's, and the segment's other bits below.
     """
     variants = []
-    for w in range(len(words)):
-        for s, (low, width) in enumerate(segments(count)):
-            mask = ((1 << width) - 1) << low
-            first = w * (BITS + count)
-            variants.append(f"struct({first + BITS + s}L AS v, {_signed(mask)}L AS mask, {low} AS low, {w} AS w)")
-            variants += [f"struct({first + i}L AS v, {_signed(mask & ~(1 << i))}L AS mask, {low} AS low, {w} AS w)" for i in range(low, low + width)]
-    each = nodes.select(*words, F.expr(f"inline(array({', '.join(variants)}))").alias("v", "mask", "low", "w"))
-    word = f"CASE w {' '.join(f'WHEN {w} THEN {name}' for w, name in enumerate(words))} END" if len(words) > 1 else words[0]
-    return each.select(F.expr(f"shiftleft(v, 44) | shiftrightunsigned({word} & mask, low)").alias("key"), *words)
-
-
-def _wild_bit(words: list[str], count: int) -> Column:
+    for s, (low, width) in enumerate(segments(count)):
+        mask = ((1 << width) - 1) << low
+        variants.append(f"struct({BITS + s}L AS v, {_signed(mask)}L AS mask, {low} AS low)")
+        variants += [f"struct({i}L AS v, {_signed(mask & ~(1 << i))}L AS mask, {low} AS low)" for i in range(low, low + width)]
+    spread = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = nodes.repartition(spread).select(*nodes.columns, F.expr(f"inline(array({', '.join(variants)}))").alias("v", "mask", "low"))
+    return each.select(F.expr(f"shiftleft(v, 44) | shiftrightunsigned({indexed} & mask, low)").alias("key"), *nodes.columns)
+
+
+def _wild_bit(indexed: str) -> Column:
     """Value of the bit that is wild in a row's key; null for a plain key."""
-    place = f"(shiftrightunsigned(key, 44) % {BITS + count})"
-    word = f"CASE shiftrightunsigned(key, 44) div {BITS + count} {' '.join(f'WHEN {w} THEN {name}' for w, name in enumerate(words))} END"
-    return F.expr(f"CASE WHEN {place} < {BITS} THEN cast(shiftrightunsigned({word}, cast({place} AS int)) & 1 AS int) END")
+    place = "shiftrightunsigned(key, 44)"
+    return F.expr(f"CASE WHEN {place} < {BITS} THEN cast(shiftrightunsigned({indexed}, cast({place} AS int)) & 1 AS int) END")
 
 
 def _distance(words: list[str], a: str, b: str) -> Column:
@@ -133,12 +134,17 @@ def _node(words: list[str], of: str | None = None) -> Column:
 
 
 def _buckets(rows: DataFrame, words: list[str]) -> DataFrame:
-    """(key, members, lo, hi, mid) of each key: least and greatest fingerprint, and of three the third."""
+    """(key, members, lo, hi, mid) of each key of two or more: least and greatest fingerprint, and of three the third.
+
+    Where rows have a root, keys whose members are all of one root are left out.
+    """
     if len(words) == 1:  # plain numbers aggregate by hash
         ends = [F.struct(f(words[0]).alias(words[0])).alias(n) for f, n in ((F.min, "lo"), (F.max, "hi"))]
     else:
         ends = [F.min(F.struct(*words)).alias("lo"), F.max(F.struct(*words)).alias("hi")]
-    found = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members"), *ends, *[F.bit_xor(w).alias(f"xor_{w}") for w in words])
+    open_key = F.min("root") != F.max("root") if "root" in rows.columns else F.lit(True)
+    found = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members"), open_key.alias("open"), *ends, *[F.bit_xor(w).alias(f"xor_{w}") for w in words])
+    found = found.filter("members > 1 AND open")
     mid = F.struct(*[F.col(f"xor_{w}").bitwiseXOR(F.col(f"lo.{w}")).bitwiseXOR(F.col(f"hi.{w}")).alias(w) for w in words])
     return found.select("key", "members", "lo", "hi", mid.alias("mid"))
 
@@ -148,12 +154,26 @@ def link_components(nodes: DataFrame, words: list[str], max_bits: int, count: in
 
     nodes: a row for each distinct fingerprint of 64-bit ``words`` (never null).
     A node's number is its only word, or a hash of its words. Nodes link at
-    max_bits or fewer differing bits over all words. With ``count`` segments in
-    each word the search is complete up to 2 * count * len(words) - 1 bits; beyond
-    that it finds the pairs that agree in a segment but for one bit.
+    max_bits or fewer differing bits over all words. Each word is indexed in turn,
+    in ``count`` segments, and what one finds the next needn't find again. The
+    search is complete up to 2 * count * len(words) - 1 bits; beyond that it finds
+    the pairs that agree in a segment but for one bit.
     """
     count = count or segments_needed(max_bits)
-    rows = signature_rows(nodes, words, count)
+    known = None
+    for number, indexed in enumerate(words):
+        now = _link_by(nodes, words, indexed, max_bits, count, known, f"{label}-{number}")
+        if known is not None:
+            discard(known)
+        known = now
+    return known
+
+
+def _link_by(nodes: DataFrame, words: list[str], indexed: str, max_bits: int, count: int, known: DataFrame | None, label: str) -> DataFrame:
+    """(node, root) by the links that an index of one word finds and those known; buckets within a known component are passed over."""
+    if known is not None:
+        nodes = nodes.withColumn("node", _node(words)).join(known, "node", "left").select(*words, F.coalesce("root", "node").alias("root"))
+    rows = signature_rows(nodes, indexed, count)
 
     def near(a: str, b: str) -> Column:
         return _distance(words, a, b) <= max_bits
@@ -164,21 +184,24 @@ def link_components(nodes: DataFrame, words: list[str], max_bits: int, count: in
         F.array(*[F.when(near(a, b) & ((F.col("members") == 3) if "mid" in (a, b) else F.lit(True)), F.struct(_node(words, a).alias("a"), _node(words, b).alias("b"))) for a, b in pairs]),
         lambda x: x.isNotNull(),
     )
-    found = _buckets(rows, words).filter("members > 1").withColumn("links", F.when(F.col("members") < 4, near_pairs))
+    found = _buckets(rows, words).withColumn("links", F.when(F.col("members") < 4, near_pairs))
     found = materialize(found.filter("members > 3 OR size(links) > 0").select("key", "lo", "hi", "links"), f"{label}-buckets")
-    small = found.filter("links IS NOT NULL").select(F.explode("links").alias("l")).select("l.a", "l.b")
+    stars = found.filter("links IS NOT NULL").select(F.explode("links").alias("l")).select("l.a", "l.b")
 
-    # Larger buckets: star links to two pivots.
+    # Larger buckets: star links to two pivots. Rows of other keys are cleared before the shuffle.
     large = found.filter("links IS NULL").select("key", "lo", "hi")
-    index = materialize(rows.join(large.hint("shuffle_hash"), "key"), f"{label}-index")
+    marks = materialize(bit_filter(large, "key"), f"{label}-filter")
+    index = with_hit(rows.select("key", *words), "key", marks, "hit").filter("hit").drop("hit").join(large.hint("shuffle_hash"), "key")
+    index = materialize(index, f"{label}-index")
     me = index.select(F.struct(*words).alias("x"), "lo", "hi")
-    stars = small
     for pivot in ("lo", "hi"):
         stars = stars.unionAll(me.filter(near("x", pivot)).select(_node(words, "x").alias("a"), _node(words, pivot).alias("b")).filter("a <> b"))
+    if known is not None:
+        stars = stars.unionAll(known.select(F.col("node").alias("a"), F.col("root").alias("b")))
     first = materialize(connected_components(stars, f"{label}-stars"), f"{label}-first")
 
     # What the pivots left apart: members of a bucket in different components.
-    placed = index.select("key", *words, _node(words).alias("node"), _wild_bit(words, count).alias("bit"))
+    placed = index.select("key", *words, _node(words).alias("node"), _wild_bit(indexed).alias("bit"))
     placed = materialize(placed.join(first, "node", "left").withColumn("root", F.coalesce("root", "node")), f"{label}-placed")
     sizes = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("members"))
     split = sizes.groupBy("key").agg(F.max_by("root", F.struct("members", "root")).alias("major"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("key", "major")
@@ -190,10 +213,10 @@ def link_components(nodes: DataFrame, words: list[str], max_bits: int, count: in
         open_rows.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.root") != F.col("r.root")) & apart & near("l", "r")
     ).select(F.col("l.root").alias("a"), F.col("r.root").alias("b"))
     second = materialize(connected_components(links, f"{label}-links"), f"{label}-second")
-    known = first.unionAll(second.select("node", F.col("node").alias("root")).join(first.select("node"), "node", "left_anti"))
+    linked = first.unionAll(second.select("node", F.col("node").alias("root")).join(first.select("node"), "node", "left_anti"))
     onward = second.select(F.col("node").alias("root"), F.col("root").alias("top"))
-    result = materialize(known.join(onward, "root", "left").select("node", F.coalesce("top", "root").alias("root")), f"{label}-linked")
-    for done in (found, index, first, placed, open_rows, second):
+    result = materialize(linked.join(onward, "root", "left").select("node", F.coalesce("top", "root").alias("root")), f"{label}-linked")
+    for done in (found, marks, index, first, placed, open_rows, second):
         discard(done)
     return result
 
@@ -249,14 +272,14 @@ def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sh
     others; they are carried in one struct, so their names don't matter.
     """
     carried = docs.select(F.struct("*").alias("__row"), simhash(F.col(text_col), shingle, words=2).alias("__f"))
-    rows = materialize(carried.withColumn("__at", F.monotonically_increasing_id()), f"{label}-rows")
+    rows = materialize(carried.withColumn("__at", F.monotonically_increasing_id()), f"{label}-rows", compression="zstd")
     prints = rows.select("__at", F.col(f"__row.{id_col}").alias("id"), "__f.*")
     classes = near_duplicate_classes(prints, ["f0", "f1"], "id", bits_for_similarity(similarity, 128), count=3, label=label)
     members = materialize(prints.join(classes, ["f0", "f1"]).select("__at", "id", "class"), f"{label}-members")
     first = members.groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__at")).alias("first")).select("first.__at")
     # Rows to drop, by a key that each has alone.
-    others = members.select("__at").join(first, "__at", "left_anti")
-    return rows.join(others, "__at", "left_anti").select("__row.*")
+    others = materialize(members.select("__at").join(first, "__at", "left_anti"), f"{label}-others")
+    return without_keys(rows, others, "__at").select("__row.*")
 
 
 def bits_for_similarity(similarity: float, bits: int) -> int:
