@@ -283,9 +283,11 @@ def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sh
 
 
 def bits_for_similarity(similarity: float, bits: int) -> int:
-    """Differing bits at which two shingle sets have so high a Jaccard similarity, by SimHash's angle.
+    """Bits within which five in six pairs of shingle sets of so high a Jaccard similarity stay, by SimHash's angle.
 
     Sets of one size and Jaccard similarity j have the cosine 2j / (1 + j), and a
-    bit differs with the angle's share of a half turn.
+    bit differs with the angle's share of a half turn; to the bits expected comes
+    one standard deviation of their number.
     """
-    return math.floor(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.floor(bits * share + math.sqrt(bits * share * (1 - share)))
