@@ -1,8 +1,10 @@
 """Merkle fingerprints of documents, in DataFrame functions only.
 
-A text's sections end after an empty line, a section's paragraphs after a line
-break, and a paragraph is cut into leaves that end with a sentence or after 48
-code points. No character is lost in cutting. A paragraph's hash is of its text,
+A text's first 128 code points are a section of their own; further sections end
+after an empty line. A section's paragraphs end after a line break, and a paragraph
+is cut into leaves that end with a sentence or after 48 code points, in the first
+section after 8, so that short texts have leaves enough to be compared. No
+character is lost in cutting. A paragraph's hash is of its text,
 a section's of its paragraphs' hashes, and the root is of the sections', so equal
 roots mean equal texts, and where roots differ the branches that differ lead to
 the edits. The fingerprint spells the tree:
@@ -21,22 +23,29 @@ from pyspark.sql.window import Window
 
 SECTION_END = r"(?<=\n\n)"
 PARAGRAPH_END = r"(?<=\n)"
-#: Up to 48 characters before the marks that end a sentence, then these and a space; or such marks alone.
-LEAF = r"[^.!?]{1,48}[.!?]*\s?|[.!?]+\s?"
+#: Up to so many characters before the marks that end a sentence, then these and a space; or such marks alone.
+LEAF, FINE_LEAF = (rf"[^.!?]{{1,{most}}}[.!?]*\s?|[.!?]+\s?" for most in (48, 8))
+#: Code points of the section of fine leaves, and a fine leaf's weight in likeness beside others.
+OPENING, FINE_WEIGHT = 128, 0.25
 #: Text bytes of a range of neighbours, and the most ranges (this bounds what is broadcast).
 RANGE_BYTES, MOST_RANGES = 4_000_000, 1 << 18
 _CUTS = 64
 
 
 def add_tree(rows: DataFrame, text: Column, name: str) -> DataFrame:
-    """Add a text's tree to rows: struct of root, leaves (array of int) and fingerprint. A null text is empty."""
+    """Add a text's tree to rows: struct of root, fine and other leaves (arrays of int) and fingerprint. A null text is empty."""
     whole = F.coalesce(text, F.lit(""))
 
-    def paragraph(p: Column) -> Column:
-        return F.struct(F.md5(p.cast("binary")).alias("hash"), F.transform(F.regexp_extract_all(p, F.lit(LEAF), F.lit(0)), lambda leaf: F.hash(leaf)).alias("leaves"))
+    def section(part: Column, leaf: str) -> Column:
+        def paragraph(p: Column) -> Column:
+            return F.struct(F.md5(p.cast("binary")).alias("hash"), F.transform(F.regexp_extract_all(p, F.lit(leaf), F.lit(0)), lambda x: F.hash(x)).alias("leaves"))
 
-    sections = F.transform(F.split(whole, SECTION_END), lambda s: F.transform(F.split(s, PARAGRAPH_END), paragraph))
-    stage = rows.withColumn("__sections", sections)
+        return F.transform(F.split(part, PARAGRAPH_END), paragraph)
+
+    opening = F.substring(whole, F.lit(1), F.lit(OPENING))
+    rest = F.substring(whole, F.lit(OPENING + 1), F.length(whole))
+    stage = rows.withColumns({"__opening": section(opening, FINE_LEAF), "__rest": F.transform(F.split(rest, SECTION_END), lambda s: section(s, LEAF))})
+    stage = stage.withColumn("__sections", F.concat(F.array("__opening"), "__rest"))
     section_hashes = F.transform("__sections", lambda s: F.md5(F.array_join(F.transform(s, lambda p: p["hash"]), ",").cast("binary")))
 
     def spell(p: Column) -> Column:
@@ -45,16 +54,18 @@ def add_tree(rows: DataFrame, text: Column, name: str) -> DataFrame:
     stage = stage.withColumns({
         "__root": F.sha2(F.array_join(section_hashes, ",").cast("binary"), 256),
         "__body": F.array_join(F.transform("__sections", lambda s: F.array_join(F.transform(s, spell), ";")), "|"),
-        "__leaves": F.flatten(F.transform("__sections", lambda s: F.flatten(F.transform(s, lambda p: p["leaves"])))),
+        "__fine": F.array_distinct(F.flatten(F.transform("__opening", lambda p: p["leaves"]))),
+        "__leaves": F.array_distinct(F.flatten(F.transform("__rest", lambda s: F.flatten(F.transform(s, lambda p: p["leaves"]))))),
     })
-    tree = F.struct(F.col("__root").alias("root"), F.col("__leaves").alias("leaves"), F.concat_ws(":", "__root", "__body").alias("fingerprint"))
-    return stage.withColumn(name, tree).drop("__sections", "__root", "__body", "__leaves")
+    tree = F.struct(F.col("__root").alias("root"), F.col("__fine").alias("fine"), F.col("__leaves").alias("leaves"), F.concat_ws(":", "__root", "__body").alias("fingerprint"))
+    return stage.withColumn(name, tree).drop("__opening", "__rest", "__sections", "__root", "__body", "__fine", "__leaves")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Twice the distinct leaves that both trees have, over the leaves of each; 1 for equal roots."""
-    shared, all_leaves = F.size(F.array_intersect(a["leaves"], b["leaves"])), F.size(F.array_distinct(a["leaves"])) + F.size(F.array_distinct(b["leaves"]))
-    return F.when(a["root"] == b["root"], F.lit(1.0)).otherwise(2.0 * shared / F.greatest(all_leaves, F.lit(1)))
+    """Twice the weight of the distinct leaves that both trees have, over the weight of each one's; 1 for equal roots."""
+    shared = FINE_WEIGHT * F.size(F.array_intersect(a["fine"], b["fine"])) + F.size(F.array_intersect(a["leaves"], b["leaves"]))
+    every = FINE_WEIGHT * (F.size(a["fine"]) + F.size(b["fine"])) + F.size(a["leaves"]) + F.size(b["leaves"])
+    return F.when(a["root"] == b["root"], F.lit(1.0)).otherwise(2.0 * shared / F.greatest(every, F.lit(FINE_WEIGHT)))
 
 
 def differing_branches(a: Column, b: Column) -> Column:

@@ -29,7 +29,7 @@ def test_differing_branches(spark):
     a, b = PROSE, PROSE.replace("sleeps", "wakes")
     fa, fb = prints(spark, [a, b])
     row = spark.createDataFrame([(fa, fb)], "a string, b string").select(fingerprints.differing_branches(F.col("a"), F.col("b")), fingerprints.differing_branches(F.col("a"), F.col("a"))).first()
-    assert [tuple(x) for x in row[0]] == [(0, 1)] and row[1] == []
+    assert [tuple(x) for x in row[0]] == [(0, 1)] and row[1] == []  # within the first 128 code points
 
 
 def test_op1_edits(spark, small):
