@@ -99,14 +99,14 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def signature_rows(nodes: DataFrame, indexed: str, count: int) -> DataFrame:
-    """Index rows (key and the columns of nodes) by one of the words: for each segment a plain row and one row for each wild bit.
+def signature_rows(nodes: DataFrame, indexed: str, cut: list[tuple[int, int]]) -> DataFrame:
+    """Index rows (key and the columns of nodes) by segments of one of the words: for each a plain row and one row for each wild bit.
 
     A key has the variant's number above bit 44, which is the wild bit's or from 64
     on the plain segment's, and the segment's other bits below.
     """
     variants = []
-    for s, (low, width) in enumerate(segments(count)):
+    for s, (low, width) in enumerate(cut):
         mask = ((1 << width) - 1) << low
         variants.append(f"struct({BITS + s}L AS v, {_signed(mask)}L AS mask, {low} AS low)")
         variants += [f"struct({i}L AS v, {_signed(mask & ~(1 << i))}L AS mask, {low} AS low)" for i in range(low, low + width)]
@@ -149,31 +149,35 @@ def _buckets(rows: DataFrame, words: list[str]) -> DataFrame:
     return found.select("key", "members", "lo", "hi", mid.alias("mid"))
 
 
-def link_components(nodes: DataFrame, words: list[str], max_bits: int, count: int | None = None, label: str = "simhash") -> DataFrame:
+def link_components(nodes: DataFrame, words: list[str], max_bits: int, count: int | None = None, at_once: int | None = None, label: str = "simhash") -> DataFrame:
     """(node, root) of every node linked to another, root the least node reachable.
 
     nodes: a row for each distinct fingerprint of 64-bit ``words`` (never null).
     A node's number is its only word, or a hash of its words. Nodes link at
-    max_bits or fewer differing bits over all words. Each word is indexed in turn,
-    in ``count`` segments, and what one finds the next needn't find again. The
-    search is complete up to 2 * count * len(words) - 1 bits; beyond that it finds
-    the pairs that agree in a segment but for one bit.
+    max_bits or fewer differing bits over all words. Each word is cut into
+    ``count`` segments and indexed by ``at_once`` of them (all) at a time; what one
+    pass finds the next needn't find again, so that a group of near copies fills
+    buckets once and not in every segment. The search is complete up to
+    2 * count * len(words) - 1 bits; beyond that it finds the pairs that agree in a
+    segment but for one bit.
     """
-    count = count or segments_needed(max_bits)
+    cut = segments(count or segments_needed(max_bits))
+    step = at_once or len(cut)
     known = None
-    for number, indexed in enumerate(words):
-        now = _link_by(nodes, words, indexed, max_bits, count, known, f"{label}-{number}")
-        if known is not None:
-            discard(known)
-        known = now
+    for word in words:
+        for at in range(0, len(cut), step):
+            now = _link_by(nodes, words, word, cut[at : at + step], max_bits, known, f"{label}-{word}-{at}")
+            if known is not None:
+                discard(known)
+            known = now
     return known
 
 
-def _link_by(nodes: DataFrame, words: list[str], indexed: str, max_bits: int, count: int, known: DataFrame | None, label: str) -> DataFrame:
-    """(node, root) by the links that an index of one word finds and those known; buckets within a known component are passed over."""
+def _link_by(nodes: DataFrame, words: list[str], indexed: str, cut: list[tuple[int, int]], max_bits: int, known: DataFrame | None, label: str) -> DataFrame:
+    """(node, root) by the links that an index of segments of a word finds and those known; buckets within a known component are passed over."""
     if known is not None:
         nodes = nodes.withColumn("node", _node(words)).join(known, "node", "left").select(*words, F.coalesce("root", "node").alias("root"))
-    rows = signature_rows(nodes, indexed, count)
+    rows = signature_rows(nodes, indexed, cut)
 
     def near(a: str, b: str) -> Column:
         return _distance(words, a, b) <= max_bits
@@ -221,7 +225,9 @@ def _link_by(nodes: DataFrame, words: list[str], indexed: str, max_bits: int, co
     return result
 
 
-def near_duplicate_classes(fingerprints: DataFrame, words: list[str], id_col: str, max_bits: int, count: int | None = None, label: str = "simhash") -> DataFrame:
+def near_duplicate_classes(
+    fingerprints: DataFrame, words: list[str], id_col: str, max_bits: int, count: int | None = None, at_once: int | None = None, label: str = "simhash"
+) -> DataFrame:
     """Class of every distinct fingerprint that several rows or links share.
 
     fingerprints: id_col and words, one row a document; never null words. Returns
@@ -233,7 +239,7 @@ def near_duplicate_classes(fingerprints: DataFrame, words: list[str], id_col: st
     distinct = materialize(
         fingerprints.groupBy(*words).agg(F.min(id_col).alias("least"), F.count(F.lit(1)).alias("copies")).withColumn("node", _node(words)), f"{label}-distinct"
     )
-    linked = link_components(distinct.select(*words), words, max_bits, count, label)
+    linked = link_components(distinct.select(*words), words, max_bits, count, at_once, label)
     of_links = distinct.join(linked, "node")
     tops = of_links.groupBy("root").agg(F.min("least").alias("component_id"))
     by_links = of_links.join(tops, "root").select(*words, F.col("root").alias("class"), "component_id")
@@ -274,7 +280,7 @@ def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sh
     carried = docs.select(F.struct("*").alias("__row"), simhash(F.col(text_col), shingle, words=2).alias("__f"))
     rows = materialize(carried.withColumn("__at", F.monotonically_increasing_id()), f"{label}-rows", compression="zstd")
     prints = rows.select("__at", F.col(f"__row.{id_col}").alias("id"), "__f.*")
-    classes = near_duplicate_classes(prints, ["f0", "f1"], "id", bits_for_similarity(similarity, 128), count=3, label=label)
+    classes = near_duplicate_classes(prints, ["f0", "f1"], "id", bits_for_similarity(similarity, 128), count=3, at_once=1, label=label)
     members = materialize(prints.join(classes, ["f0", "f1"]).select("__at", "id", "class"), f"{label}-members")
     first = members.groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__at")).alias("first")).select("first.__at")
     # Rows to drop, by a key that each has alone.

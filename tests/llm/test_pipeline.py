@@ -28,7 +28,7 @@ def keep_one(rows):
     for i in range(len(rows)):
         for j in range(i):
             x = whole[i] ^ whole[j]
-            if x.bit_count() <= 19 and any((x & m).bit_count() <= 1 for m in masks):
+            if x.bit_count() <= 23 and any((x & m).bit_count() <= 1 for m in masks):
                 a, b = sorted((top(i), top(j)))
                 parent[b] = a
     return [rows[i] for i in range(len(rows)) if top(i) == i]
