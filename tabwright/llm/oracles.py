@@ -59,3 +59,42 @@ held AS (
   FROM keys JOIN intervals USING (entry) WHERE valid_from <= fetched_at AND (valid_to IS NULL OR fetched_at < valid_to))
 SELECT page_id, url, host, fetched_at, coalesce(n_active, 0) AS n_active, entry, action, valid_from, coalesce(action = 'block', false) AS blocked
 FROM captures LEFT JOIN (SELECT * FROM held WHERE place = 1) USING (page_id)"""
+
+
+def _template_pattern(template: str) -> str:
+    """A template's markup as a regular expression over words with a space after each."""
+    from tabwright.llm.licenses import MARKUP, words_of
+
+    out, at = [], 0
+    for mark in [*MARKUP.finditer(template), None]:
+        out += [f"{w.decode()} " for w in words_of(template[at : mark.start() if mark else len(template)])]
+        if mark is None:
+            break
+        at = mark.end()
+        if mark[1] == "var":
+            given = dict(x.split("=") for x in (mark[2] or "").strip(";").split(";") if "=" in x)
+            out.append(f"(?:[^ ]+ ){{{given.get('min', 0)},{given.get('max', 20)}}}")
+        else:
+            out.append("(?:" if mark[1] == "beginOptional" else ")?")
+    return " " + "".join(out)
+
+
+def license_sql(templates, phrases) -> str:
+    """op3: phrases by slices of the words, templates by regular expressions."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    places = ", ".join(
+        f"list_filter(range(1, len(w) + 1), lambda i: w[i:i + {len(p.split()) - 1}] = {p.split()!r})" for p, _ in phrases
+    )
+    base = ", ".join(f"CASE WHEN len(found[{i}]) > 0 THEN '{label}' END" for i, (_, label) in enumerate(phrases, 1))
+    own = ", ".join(f"CASE WHEN regexp_matches(joined, '{_template_pattern(t)}') THEN '{label}' END" for label, t in templates)
+    known = "list_filter({}, lambda x: x IS NOT NULL)"
+    return rf"""
+WITH texts AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+places AS (SELECT doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS joined, [{places}] AS found FROM texts),
+marked AS (
+  SELECT doc_id, w, list_sort(flatten(found)) AS starts, {known.format(f"[{base}]")} AS base, {known.format(f"[{own}]")} AS own FROM places)
+SELECT doc_id, len(w)::BIGINT AS n_words, len(starts)::BIGINT AS n_base, (starts[1] - 1)::BIGINT AS first_word, (starts[-1] - 1)::BIGINT AS last_word,
+  array_to_string(list_sort(list_distinct(base)), ',') AS base_labels, array_to_string(list_sort(list_distinct(list_concat(base, own))), ',') AS labels,
+  CASE WHEN len(own) > 0 THEN 1.0::DOUBLE WHEN len(base) > 0 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS score
+FROM marked"""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabwright.llm import chunk_coding, fingerprints, licenses, packing, pii, quality, secrets, sharding, simhash, url_filters
-from tabwright.llm.oracles import quality_sql, url_filter_sql
+from tabwright.llm.oracles import license_sql, quality_sql, url_filter_sql
 from tabwright.llm.spans import digest_of
 
 
@@ -107,4 +107,8 @@ QUERIES = {
 }
 
 #: The others need hashes, tokenizers or iteration; the tests hold them against plain Python.
-ORACLES: dict[str, str] = {"op7_url_filters": url_filter_sql(URL_LIST_EVENTS), "op9_quality": quality_sql(quality.QualityRules())}
+ORACLES: dict[str, str] = {
+    "op3_licenses": license_sql(licenses.TEMPLATES, licenses.PHRASES),
+    "op7_url_filters": url_filter_sql(URL_LIST_EVENTS),
+    "op9_quality": quality_sql(quality.QualityRules()),
+}
