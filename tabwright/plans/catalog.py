@@ -158,6 +158,32 @@ def mask_true_positions(spark, sf_dir):
     return customers.true_positions(customers["c_acctbal"].greater_than(9000.0))
 
 
+def _balance_or_nan(spark, sf_dir) -> Frame:
+    """Customers whose balance is NaN where it is negative."""
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    return Frame(customers.data.withColumn("x", F.when(F.col("c_acctbal") < 0, F.lit(float("nan"))).otherwise(F.col("c_acctbal"))))
+
+
+_NAN = "(SELECT *, CASE WHEN c_acctbal < 0 THEN 'NaN'::DOUBLE ELSE c_acctbal END AS x FROM customer)"
+
+
+@query(f"SELECT c_custkey FROM {_NAN} WHERE isnan(x) OR x < 1000")
+def filter_nan_is_least(spark, sf_dir):
+    f = _balance_or_nan(spark, sf_dir)
+    return f.where(f["x"].less_than(1000.0)).select("c_custkey").to_spark()
+
+
+@query(f"SELECT c_custkey FROM {_NAN} WHERE NOT isnan(x) AND x >= 9000")
+def filter_nan_not_above(spark, sf_dir):
+    f = _balance_or_nan(spark, sf_dir)
+    return f.where(f["x"].greater_than_or_equal(9000.0)).select("c_custkey").to_spark()
+
+
+@query(f"SELECT c_mktsegment, min(x) FILTER (WHERE NOT isnan(x)) AS x, max(c_acctbal) AS c_acctbal FROM {_NAN} GROUP BY 1")
+def agg_min_passes_over_nan(spark, sf_dir):
+    return _balance_or_nan(spark, sf_dir).group_by("c_mktsegment").agg({"x": AggFunc.MIN, "c_acctbal": AggFunc.MAX}).to_spark()
+
+
 # -- arithmetic and reductions ------------------------------------------------------
 
 
