@@ -149,27 +149,26 @@ def _buckets(rows: DataFrame, words: list[str]) -> DataFrame:
     return found.select("key", "members", "lo", "hi", mid.alias("mid"))
 
 
-def link_components(nodes: DataFrame, words: list[str], max_bits: int, count: int | None = None, at_once: int | None = None, label: str = "simhash") -> DataFrame:
+def link_components(nodes: DataFrame, words: list[str], max_bits: int, count: int | None = None, first_alone: bool = False, label: str = "simhash") -> DataFrame:
     """(node, root) of every node linked to another, root the least node reachable.
 
     nodes: a row for each distinct fingerprint of 64-bit ``words`` (never null).
     A node's number is its only word, or a hash of its words. Nodes link at
     max_bits or fewer differing bits over all words. Each word is cut into
-    ``count`` segments and indexed by ``at_once`` of them (all) at a time; what one
-    pass finds the next needn't find again, so that a group of near copies fills
-    buckets once and not in every segment. The search is complete up to
-    2 * count * len(words) - 1 bits; beyond that it finds the pairs that agree in a
-    segment but for one bit.
+    ``count`` segments and indexed in one pass; what one pass finds the next needn't
+    find again. With first_alone, the first segment has a pass of its own, so that a
+    group of near copies fills a few buckets and not those of every segment. The
+    search is complete up to 2 * count * len(words) - 1 bits; beyond that it finds
+    the pairs that agree in a segment but for one bit.
     """
     cut = segments(count or segments_needed(max_bits))
-    step = at_once or len(cut)
+    passes = [(words[0], cut[:1]), (words[0], cut[1:])] if first_alone else [(words[0], cut)]
     known = None
-    for word in words:
-        for at in range(0, len(cut), step):
-            now = _link_by(nodes, words, word, cut[at : at + step], max_bits, known, f"{label}-{word}-{at}")
-            if known is not None:
-                discard(known)
-            known = now
+    for number, (word, part) in enumerate(passes + [(word, cut) for word in words[1:]]):
+        now = _link_by(nodes, words, word, part, max_bits, known, f"{label}-{number}")
+        if known is not None:
+            discard(known)
+        known = now
     return known
 
 
@@ -192,16 +191,21 @@ def _link_by(nodes: DataFrame, words: list[str], indexed: str, cut: list[tuple[i
     found = materialize(found.filter("members > 3 OR size(links) > 0").select("key", "lo", "hi", "links"), f"{label}-buckets")
     stars = found.filter("links IS NOT NULL").select(F.explode("links").alias("l")).select("l.a", "l.b")
 
-    # Larger buckets: star links to two pivots. Rows of other keys are cleared before the shuffle.
+    if known is not None:
+        stars = stars.unionAll(known.select(F.col("node").alias("a"), F.col("root").alias("b")))
     large = found.filter("links IS NULL").select("key", "lo", "hi")
+    if large.isEmpty():
+        result = materialize(connected_components(stars, f"{label}-stars"), f"{label}-linked")
+        discard(found)
+        return result
+
+    # Larger buckets: star links to two pivots. Rows of other keys are cleared before the shuffle.
     marks = materialize(bit_filter(large, "key"), f"{label}-filter")
     index = with_hit(rows.select("key", *words), "key", marks, "hit").filter("hit").drop("hit").join(large.hint("shuffle_hash"), "key")
     index = materialize(index, f"{label}-index")
     me = index.select(F.struct(*words).alias("x"), "lo", "hi")
     for pivot in ("lo", "hi"):
         stars = stars.unionAll(me.filter(near("x", pivot)).select(_node(words, "x").alias("a"), _node(words, pivot).alias("b")).filter("a <> b"))
-    if known is not None:
-        stars = stars.unionAll(known.select(F.col("node").alias("a"), F.col("root").alias("b")))
     first = materialize(connected_components(stars, f"{label}-stars"), f"{label}-first")
 
     # What the pivots left apart: members of a bucket in different components.
@@ -216,17 +220,23 @@ def _link_by(nodes: DataFrame, words: list[str], indexed: str, cut: list[tuple[i
     links = minor.join(
         open_rows.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.root") != F.col("r.root")) & apart & near("l", "r")
     ).select(F.col("l.root").alias("a"), F.col("r.root").alias("b"))
-    second = materialize(connected_components(links, f"{label}-links"), f"{label}-second")
-    linked = first.unionAll(second.select("node", F.col("node").alias("root")).join(first.select("node"), "node", "left_anti"))
-    onward = second.select(F.col("node").alias("root"), F.col("root").alias("top"))
-    result = materialize(linked.join(onward, "root", "left").select("node", F.coalesce("top", "root").alias("root")), f"{label}-linked")
-    for done in (found, marks, index, first, placed, open_rows, second):
-        discard(done)
+    links = materialize(links.distinct(), f"{label}-links")
+    done = [found, marks, index, placed, open_rows, links]
+    if links.isEmpty():
+        result = first
+    else:
+        second = materialize(connected_components(links, f"{label}-joined"), f"{label}-second")
+        linked = first.unionAll(second.select("node", F.col("node").alias("root")).join(first.select("node"), "node", "left_anti"))
+        onward = second.select(F.col("node").alias("root"), F.col("root").alias("top"))
+        result = materialize(linked.join(onward, "root", "left").select("node", F.coalesce("top", "root").alias("root")), f"{label}-linked")
+        done += [first, second]
+    for table in done:
+        discard(table)
     return result
 
 
 def near_duplicate_classes(
-    fingerprints: DataFrame, words: list[str], id_col: str, max_bits: int, count: int | None = None, at_once: int | None = None, label: str = "simhash"
+    fingerprints: DataFrame, words: list[str], id_col: str, max_bits: int, count: int | None = None, first_alone: bool = False, label: str = "simhash"
 ) -> DataFrame:
     """Class of every distinct fingerprint that several rows or links share.
 
@@ -239,7 +249,7 @@ def near_duplicate_classes(
     distinct = materialize(
         fingerprints.groupBy(*words).agg(F.min(id_col).alias("least"), F.count(F.lit(1)).alias("copies")).withColumn("node", _node(words)), f"{label}-distinct"
     )
-    linked = link_components(distinct.select(*words), words, max_bits, count, at_once, label)
+    linked = link_components(distinct.select(*words), words, max_bits, count, first_alone, label)
     of_links = distinct.join(linked, "node")
     tops = of_links.groupBy("root").agg(F.min("least").alias("component_id"))
     by_links = of_links.join(tops, "root").select(*words, F.col("root").alias("class"), "component_id")
@@ -280,7 +290,7 @@ def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sh
     carried = docs.select(F.struct("*").alias("__row"), simhash(F.col(text_col), shingle, words=2).alias("__f"))
     rows = materialize(carried.withColumn("__at", F.monotonically_increasing_id()), f"{label}-rows", compression="zstd")
     prints = rows.select("__at", F.col(f"__row.{id_col}").alias("id"), "__f.*")
-    classes = near_duplicate_classes(prints, ["f0", "f1"], "id", bits_for_similarity(similarity, 128), count=3, at_once=1, label=label)
+    classes = near_duplicate_classes(prints, ["f0", "f1"], "id", bits_for_similarity(similarity, 128), count=3, first_alone=True, label=label)
     members = materialize(prints.join(classes, ["f0", "f1"]).select("__at", "id", "class"), f"{label}-members")
     first = members.groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__at")).alias("first")).select("first.__at")
     # Rows to drop, by a key that each has alone.

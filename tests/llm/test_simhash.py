@@ -101,8 +101,8 @@ def test_links_of_one_word_are_complete(spark, seed):
     assert all(min(map(signed, g)) == r for r, g in found.items())
 
 
-@pytest.mark.parametrize("at_once", [None, 1])
-def test_links_of_two_words_agree_in_a_segment(spark, at_once):
+@pytest.mark.parametrize("first_alone", [False, True])
+def test_links_of_two_words_agree_in_a_segment(spark, first_alone):
     codes = planted(random.Random(3), 2)
     split = [(signed(c >> 64), signed(c & (2**64 - 1))) for c in codes]
     nodes = spark.createDataFrame(split, "f0 long, f1 long").repartition(3)
@@ -113,7 +113,7 @@ def test_links_of_two_words_agree_in_a_segment(spark, at_once):
         return (a ^ b).bit_count() <= 23 and any(((a ^ b) & m).bit_count() <= 1 for m in masks)
 
     found = {}
-    for node, root in simhash.link_components(nodes, ["f0", "f1"], 23, count=3, at_once=at_once).collect():
+    for node, root in simhash.link_components(nodes, ["f0", "f1"], 23, count=3, first_alone=first_alone).collect():
         found.setdefault(root, set()).add(names[node])
     assert {frozenset(g) for g in found.values()} == brute_components(codes, linked)
 
