@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from tabwright.llm.common import bit_filter, discard, materialize, with_hit, without_keys
 from tabwright.llm.components import connected_components
+from tabwright.llm.jaccard import link_sets, set_sizes
 
 BITS = 64
 
@@ -279,19 +280,19 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
 def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 5, similarity: float = 0.8, label: str = "dedup") -> DataFrame:
     """The rows of docs without near duplicates: of each class the row of the least id (null last) stays.
 
-    Texts are near duplicates at an estimated Jaccard similarity of so much or more
-    between their sets of shingles: 128-bit SimHashes that differ in no more bits
-    than that similarity makes likely (``bits_for_similarity``). Their six segments
-    are searched: links of up to 11 differing bits are all found, those beyond when
-    they agree in a segment but for one bit. Texts without words are all alike. Of
-    rows of one id in a class, one stays. All columns of docs are returned, and no
-    others; they are carried in one struct, so their names don't matter.
+    Texts are near duplicates at a Jaccard similarity of so much or more between
+    their sets of shingles, which is exact (``jaccard.link_sets``), and classes are
+    what such links join. Texts without words are all alike. Of rows of one id in a
+    class, one stays. All columns of docs are returned, and no others; they are
+    carried in one struct, so their names don't matter.
     """
-    carried = docs.select(F.struct("*").alias("__row"), simhash(F.col(text_col), shingle, words=2).alias("__f"))
+    carried = docs.select(F.struct("*").alias("__row"), set_sizes(F.col(text_col), shingle).alias("__s"))
     rows = materialize(carried.withColumn("__at", F.monotonically_increasing_id()), f"{label}-rows", compression="zstd")
-    prints = rows.select("__at", F.col(f"__row.{id_col}").alias("id"), "__f.*")
-    classes = near_duplicate_classes(prints, ["f0", "f1"], "id", bits_for_similarity(similarity, 128), count=3, first_alone=True, label=label)
-    members = materialize(prints.join(classes, ["f0", "f1"]).select("__at", "id", "class"), f"{label}-members")
+    prints = rows.select("__at", F.col(f"__row.{id_col}").alias("id"), "__s.node")
+    linked = link_sets(rows, F.col(f"__row.{text_col}"), shingle, similarity, label)
+    copied = prints.groupBy("node").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1").select("node")
+    classes = linked.select("node", F.col("root").alias("class")).union(copied.join(linked, "node", "left_anti").select("node", F.col("node").alias("class")))
+    members = materialize(prints.join(classes, "node").select("__at", "id", "class"), f"{label}-members")
     first = members.groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__at")).alias("first")).select("first.__at")
     # Rows to drop, by a key that each has alone.
     others = materialize(members.select("__at").join(first, "__at", "left_anti"), f"{label}-others")
