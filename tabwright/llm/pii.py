@@ -1,8 +1,9 @@
 """Personal data by rules and by contexts bootstrapped from them, in DataFrame functions only.
 
 Fixed patterns with checks find e-mail addresses, IPv4 addresses, payment cards
-and phone numbers; these are the seeds. Every token that holds a digit or an @ is
-an instance, and the one or two words before it are lexical patterns. Patterns
+and phone numbers; these are the seeds. Every seed, every other token that holds a
+digit or an @ and every row of digit groups with spaces between is an instance,
+and the one or two words before it are lexical patterns. Patterns
 and instances make a weighted graph over the whole corpus. Round by round each
 pattern is scored, for each kind, by the instances that it introduces, and each
 instance by the patterns that introduce it. Instances of the shape of a kind, in
@@ -29,13 +30,15 @@ PATTERNS = {
     "phone": Pattern(r"\+[0-9][\x20().0-9-]+[0-9]", needs=r"\+"),
     # Any token of a digit or an @, with the words before it.
     "token": Pattern(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+", needs="[0-9@]", context=80),
+    # Digit groups, such as (017) 555-7713, with single spaces between them.
+    "group": Pattern(r"""(?<![^\s"'\[<{])[+(]?[0-9(][0-9().-]*+(?:\x20(?=[0-9(][0-9().-]*+(?![^\s,;:!?"'\]}>]))[0-9(][0-9().-]*+)++""", needs=r"[0-9().-]\x20[0-9(]", context=80),
 }
 #: What a discovered token must look like, marks around it taken off.
 SHAPES = {
     "email": r"^[^\s@]+@[^\s@]+$",
     "ip": r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$",
     "card": r"^[0-9]([\x20-]?[0-9]){12,18}$",
-    "phone": r"^\+?[0-9().-]{7,18}$",
+    "phone": r"^(\+?[0-9().-]{7,18}|(?=([^0-9]*[0-9]){7,15}[^0-9]*$)\+?[0-9(][0-9().-]*(\x20[0-9(][0-9().-]*)+)$",
 }
 
 
@@ -76,32 +79,40 @@ def _trimmed(value: Column) -> Column:
 
 
 def base_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, email, ip, card, phone, token): arrays of checked spans of each kind, and of tokens with what is before them."""
+    """(doc_id, email, ip, card, phone, token, group): arrays of checked spans of each kind, and of tokens and digit groups with what is before them."""
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text"))
     found = find_spans(picked, F.col("__text"), PATTERNS).drop("__text")
     return found.withColumns({kind: _tagged(kind, i, F.col(kind)) for i, kind in enumerate(KINDS)})
 
 
 def occurrences(found: DataFrame) -> DataFrame:
-    """A row for each token of each document: (key, start, end, instance, kind, patterns).
+    """A row for each token and each row of digit groups of each document: (key, start, end, instance, kind, patterns).
 
-    kind is that of the base span that starts in the token, if any; patterns are
-    the word before the token and the two words before it, in lower case.
+    kind is that of the base span that starts there, if any, which is then the
+    instance as a whole; patterns are the word before and the two words before, in
+    lower case. Groups count if they hold as many digits as a phone or a card and no
+    dotted address; tokens that start in them don't.
     """
     base = F.concat(*[F.col(k) for k in KINDS])
-    tokens = found.filter(F.size("token") > 0).select("key", base.alias("base"), F.explode("token").alias("t"))
+    groups = F.filter("group", lambda g: F.length(_digits(g["value"])).between(7, 19) & ~F.regexp_like(g["value"], F.lit(r"[0-9](\.[0-9]+){3}")))
+    rows = found.filter("size(token) > 0").select("key", base.alias("base"), "token", groups.alias("groups"))
+    single = F.filter("token", lambda t: ~F.exists("groups", lambda g: (g["start"] <= t["end"] - 1) & (t["start"] < g["end"])))
+    both = F.concat(F.transform(single, lambda t: F.struct(t.alias("t"), F.lit(False).alias("group"))), F.transform("groups", lambda g: F.struct(g.alias("t"), F.lit(True).alias("group"))))
+    tokens = rows.select("key", "base", F.explode(both).alias("e")).select("key", "base", "e.t", "e.group")
     words = F.split(F.trim(F.lower(F.regexp_replace("t.before", r"[\s\p{Punct}]+", " "))), " ")
-    known = F.filter("base", lambda b: (b["start"] >= F.col("t.start")) & (b["start"] < F.col("t.end")))
+    known = F.get(F.filter("base", lambda b: (b["start"] >= F.col("t.start")) & (b["start"] < F.col("t.end"))), F.lit(0))
     last, two = F.element_at(words, -1), F.when(F.size(words) > 1, F.concat_ws(" ", F.try_element_at(words, F.lit(-2)), F.element_at(words, -1)))
     patterns = F.filter(F.array(last, two), lambda p: p.isNotNull() & (p != ""))
-    lead = F.length(F.regexp_extract("t.value", r"^[^\p{L}0-9+@]+", 0))
-    instance = _trimmed(F.col("t.value"))
+    # A group keeps its opening bracket.
+    lead = F.when(F.col("group"), F.lit(0)).otherwise(F.length(F.regexp_extract("t.value", r"^[^\p{L}0-9+@]+", 0)))
+    own = F.when(F.col("group"), F.regexp_replace("t.value", "[^0-9]+$", "")).otherwise(_trimmed(F.col("t.value")))
+    tokens = tokens.withColumns({"known": known, "own": own, "at": F.col("t.start") + lead})
     return tokens.select(
         "key",
-        (F.col("t.start") + lead).alias("start"),
-        (F.col("t.start") + lead + F.length(instance)).alias("end"),
-        instance.alias("instance"),
-        F.get(known, F.lit(0))["kind"].alias("kind"),
+        F.coalesce("known.start", "at").alias("start"),
+        F.coalesce("known.end", F.col("at") + F.length("own")).alias("end"),
+        F.coalesce("known.value", "own").alias("instance"),
+        F.col("known.kind").alias("kind"),
         patterns.alias("patterns"),
     ).filter("instance <> ''")
 
