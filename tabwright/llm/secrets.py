@@ -29,7 +29,7 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*+[:=]\x20*+["']
 PATTERNS = {
     "assign": Pattern(ASSIGN),
     "access": Pattern(r"AKIA[A-Z0-9]++", needs="AKIA"),
-    "hex": Pattern(r"(?<![0-9a-f])[0-9a-f]{24,}+", needs="[0-9]"),
+    "hex": Pattern(r"(?<![0-9a-f])[0-9a-f]{24,}+", needs="[0-9a-f]{24}"),
     # Runs of a token's characters that hold a digit and a letter and are long enough to test.
     "random": Pattern(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{20,}+", needs="[0-9]"),
 }

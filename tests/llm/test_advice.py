@@ -1,8 +1,8 @@
-"""Spaced identifiers."""
+"""Spaced identifiers and digit-free hex runs."""
 
 import random
 
-from tabwright.llm import pii
+from tabwright.llm import pii, secrets
 from tabwright.llm.spans import digest_of
 
 
@@ -18,3 +18,9 @@ def test_spaced_numbers_teach_and_are_found(spark):
     got = spans(pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")))
     assert (got[100], got[101], got[102]) == ("phone:18:32", "phone:18:30", "")
     assert all(got[i] == "phone:18:35" for i in range(40))
+
+
+def test_hex_runs_without_digits(spark):
+    rows = [(1, "x " + "a" * 30), (2, "deadbeef" * 3), (3, "a" * 23)]
+    got = spans(secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got == {1: "hex:2:32", 2: "hex:0:24", 3: ""}
