@@ -3,8 +3,8 @@
 A list is a history: dated events add an entry with an action or remove it.
 Events become intervals in which an entry holds, from its date up to the entry's
 next event. A capture is evaluated as of the time it was fetched: its host's
-suffixes and the first segment of its path are the keys under which entries can
-stand, and of the entries that hold at that time the most specific one decides.
+suffixes, and its host with each beginning of its path, are the keys under which
+entries can stand, and of the entries that hold at that time the most specific one decides.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
-FIRST_SEGMENT = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([^/?#]+)"
+PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([^/?#][^?#]*)"
 
 
 def host_of(url: Column) -> Column:
@@ -30,17 +30,22 @@ def validity_intervals(events: DataFrame) -> DataFrame:
     at one time the last by name holds. Entries without text or time are none.
     """
     clean = events.filter(F.col("entry").isNotNull() & (F.col("entry") != "") & F.col("since").isNotNull() & F.col("action").isNotNull())
-    once = clean.groupBy(F.lower("entry").alias("entry"), F.col("since").alias("valid_from")).agg(F.max("action").alias("action"))
+    # Hosts ignore case, paths don't.
+    host = F.substring_index("entry", "/", 1)
+    entry = F.concat(F.lower(host), F.expr("substring(entry, length(substring_index(entry, '/', 1)) + 1)"))
+    once = clean.groupBy(entry.alias("entry"), F.col("since").alias("valid_from")).agg(F.max("action").alias("action"))
     until = F.lead("valid_from").over(Window.partitionBy("entry").orderBy("valid_from"))
     return once.withColumn("valid_to", until).filter("action IN ('block', 'allow')").select("entry", "action", "valid_from", "valid_to")
 
 
-def keys_of(url: Column, host: Column) -> Column:
-    """Keys under which entries for a URL can stand: its host's suffixes, and its host with the first path segment."""
+def keys_of(url: Column, host: Column, depth: int = 1) -> Column:
+    """Keys under which entries for a URL can stand: its host's suffixes, and its host with the first 1 to depth path segments."""
     labels = F.split(host, r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    segment = F.regexp_extract(F.coalesce(url, F.lit("")), FIRST_SEGMENT, 1)
-    return F.when(host != "", F.concat(suffixes, F.when(segment != "", F.array(F.concat_ws("/", host, segment))).otherwise(F.array().cast("array<string>"))))
+    path = F.regexp_extract(F.coalesce(url, F.lit("")), PATH, 1)
+    parts = F.slice(F.split(path, "/"), 1, depth)
+    paths = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat_ws("/", host, F.array_join(F.slice(parts, 1, i), "/")))
+    return F.when(host != "", F.concat(suffixes, F.when(path != "", paths).otherwise(F.array().cast("array<string>"))))
 
 
 def filter_urls(captures: DataFrame, events: DataFrame, url_col: str = "url", id_col: str = "page_id", time_col: str = "fetched_at") -> DataFrame:
@@ -51,14 +56,16 @@ def filter_urls(captures: DataFrame, events: DataFrame, url_col: str = "url", id
     blocked tells whether that blocks. A null URL, one without a host, and a null
     time match nothing. Repeated captures each have a row; an empty list blocks
     nothing; empty captures give no rows; other columns are passed over. Distinct
-    pairs of host, segment and time are evaluated once, however many captures
+    pairs of keys and time are evaluated once, however many captures
     have them. The list is broadcast only if Spark finds it small enough; else a
     hot key's rows are split by adaptive execution.
     """
     url = F.col(url_col)
     picked = captures.select(F.col(id_col).alias("page_id"), url.alias("url"), F.col(time_col).alias("fetched_at"))
     picked = picked.withColumn("host", host_of(F.col("url")))
-    picked = picked.withColumn("__key", keys_of(F.col("url"), F.col("host")))
+    # No key is longer than the deepest entry.
+    deepest = events.agg(F.max(F.size(F.split("entry", "/")) - 1)).first()[0]
+    picked = picked.withColumn("__key", keys_of(F.col("url"), F.col("host"), max(deepest or 0, 1)))
     distinct = picked.filter("__key IS NOT NULL AND fetched_at IS NOT NULL").select("__key", "fetched_at").distinct()
     held = distinct.select("__key", "fetched_at", F.explode("__key").alias("entry")).join(validity_intervals(events), "entry")
     held = held.filter("valid_from <= fetched_at AND (valid_to IS NULL OR fetched_at < valid_to)")

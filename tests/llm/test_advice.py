@@ -1,8 +1,9 @@
-"""Spaced identifiers and digit-free hex runs."""
+"""Spaced identifiers, digit-free hex runs and deep paths of URL lists."""
 
+import datetime as dt
 import random
 
-from tabwright.llm import pii, secrets
+from tabwright.llm import pii, secrets, url_filters
 from tabwright.llm.spans import digest_of
 
 
@@ -24,3 +25,12 @@ def test_hex_runs_without_digits(spark):
     rows = [(1, "x " + "a" * 30), (2, "deadbeef" * 3), (3, "a" * 23)]
     got = spans(secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")))
     assert got == {1: "hex:2:32", 2: "hex:0:24", 3: ""}
+
+
+def test_deep_paths_and_their_case(spark):
+    day = dt.date(2024, 1, 1)
+    events = spark.createDataFrame([(e, "block", day) for e in ("Example.org/a/b", "example.org/Up", "example.org/low")], "entry string, action string, since date")
+    urls = ["http://example.org/a/b/c?d", "http://example.org/a", "http://EXAMPLE.org/Up/x", "http://example.org/up", "http://example.org/low", "http://example.org/LOW", "http://example.org/a/bc"]
+    rows = [(i, u, day) for i, u in enumerate(urls)]
+    got = url_filters.filter_urls(spark.createDataFrame(rows, "page_id long, url string, fetched_at date"), events)
+    assert {r["page_id"]: r["entry"] for r in got.collect()} == dict(enumerate(["example.org/a/b", None, "example.org/Up", None, "example.org/low", None, None]))
