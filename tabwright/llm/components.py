@@ -1,9 +1,11 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
 The method is that of Kiveris, Lattanzi, Mirrokni, Rastogi and Vassilvitskii,
-"Connected components in MapReduce and beyond" (SoCC 2014). Every step is two
-aggregations and a join on node ids; a node of very many edges is pre-aggregated
-before the shuffle, and its rows of the join are split by adaptive execution.
+"Connected components in MapReduce and beyond" (SoCC 2014). Every step finds each
+node's least neighbour, which is pre-aggregated before the shuffle and written, and
+joins it to the edges. As both sides of the join are read from tables, the rows of
+a node of very many edges are split by adaptive execution; beside an aggregation
+in the same stage they couldn't be.
 """
 
 from __future__ import annotations
@@ -14,19 +16,24 @@ from pyspark.sql import functions as F
 from tabwright.llm.common import discard, materialize
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, label: str) -> DataFrame:
     """Link each larger neighbour of a node to the node's least neighbour or itself."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), f"{label}-least")
     # Edges run from the larger node a to the smaller b.
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    linked = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    result = materialize(linked, f"{label}-large")
+    discard(least)
+    return result
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, label: str) -> DataFrame:
     """Link a node and its smaller neighbours to the least of them."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    least = materialize(edges.groupBy("a").agg(F.min("b").alias("m")), f"{label}-least")
     linked = edges.join(least, "a").filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return linked.union(least.select("a", F.col("m").alias("b"))).distinct()
+    result = materialize(linked.union(least.select("a", F.col("m").alias("b"))).distinct(), f"{label}-small")
+    discard(least)
+    return result
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -35,7 +42,7 @@ def _signature(edges: DataFrame) -> tuple:
 
 
 def connected_components(edges: DataFrame, label: str = "components") -> DataFrame:
-    """Least reachable node of every node that has an edge.
+    """Least reachable node of every node that has an edge, as a table that ``discard`` deletes.
 
     edges: columns a and b of bigint, in any direction, with repeats and loops
     allowed; rows with a null end are no edges. Returns (node, root) with a row
@@ -47,10 +54,14 @@ def connected_components(edges: DataFrame, label: str = "components") -> DataFra
     )
     seen = _signature(now)
     while seen[0]:
-        then = materialize(_small_star(_large_star(now)), label)
+        large = _large_star(now, label)
+        then = _small_star(large, label)
         discard(now)
+        discard(large)
         now, last, seen = then, seen, _signature(then)
         if seen == last:
             break
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
+    result = materialize(now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots), f"{label}-roots")
+    discard(now)
+    return result

@@ -2,10 +2,12 @@
 
 A 64-bit fingerprint is cut into so few segments that two linked fingerprints
 must agree in one of them but for at most one bit: three segments for up to five
-differing bits. Each segment is indexed once as it is and once for each of its
-bits with that bit wild. Two fingerprints then meet under the plain key of a
-segment that agrees, or, once only, under the key whose wild bit is the one that
-differs. Meeting pairs are verified by counting the bits that differ.
+differing bits. Each segment is indexed as it is, and so many segments also once
+for each of their bits with that bit wild. Where no segment agrees whole, each
+differs, and then of four bits two segments have one each; so wild bits in any two
+of three segments find every link of up to four bits. Two fingerprints meet under
+the plain key of a segment that agrees, or under the key whose wild bit is the one
+that differs. Meeting pairs are verified by counting the bits that differ.
 
 Buckets are never expanded into all their pairs. Of a bucket of two or three, a
 row of aggregates holds all members. In a larger bucket two pivots, its least and
@@ -21,7 +23,6 @@ Fingerprints, not documents, are the nodes: copies collapse first.
 from __future__ import annotations
 
 import itertools
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,46 +42,42 @@ BITS = 64
 _BLOCK = 65_536
 
 
-def _bits_over_half(digests: Iterator[bytes], count: int, width: int) -> bytes:
-    """A bit is 1 if it is set in over half the digests, which are of one length."""
-    ones = np.zeros(8 * width, dtype=np.int64)
+def _bits_over_half(digests: Iterator[bytes], count: int) -> bytes:
+    """A bit is 1 if it is set in over half the digests."""
+    ones = np.zeros(BITS, dtype=np.int64)
     while block := list(itertools.islice(digests, _BLOCK)):
-        codes = np.frombuffer(b"".join(block), dtype=np.uint8).reshape(-1, width)
+        codes = np.frombuffer(b"".join(block), dtype=np.uint8).reshape(-1, BITS // 8)
         ones += np.unpackbits(codes, axis=1).sum(axis=0, dtype=np.uint32)
     return np.packbits(2 * ones > count).tobytes()
 
 
-def fingerprint(text: str | None, shingle: int = 4, words: int = 1, seed: int = 42) -> list[int]:
-    """A text's SimHash over its word shingles, as signed 64-bit words; all 0 without words or for null.
+def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
+    """A text's SimHash over its word shingles, as a signed integer; 0 without words or for null.
 
     A-Z are lowered, words are runs of other than space and \\t to \\r, a shingle
     is so many words joined by spaces (fewer words: all of them) and repeats count
-    each time. Shingles are hashed as UTF-8 by XXH64 for one word of 64 bits and
-    by XXH3 of 128 bits for two.
+    each time. Shingles are hashed as UTF-8 by XXH64.
     """
-    digest = {1: xxhash.xxh64_digest, 2: xxhash.xxh3_128_digest}[words]
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not parts:
-        return [0] * words
+        return 0
     joined = b" ".join(parts)
     if len(parts) <= shingle:
-        found = digest(joined, seed)
+        found = xxhash.xxh64_digest(joined, seed)
     else:
         ends = np.cumsum([len(w) + 1 for w in parts])
         starts = [0, *ends[: len(parts) - shingle].tolist()]
         stops = (ends[shingle - 1 :] - 1).tolist()
-        each = (digest(joined[a:b], seed) for a, b in zip(starts, stops, strict=True))
-        found = _bits_over_half(each, len(starts), 8 * words)
-    return np.frombuffer(found, dtype=">i8").tolist()
+        found = _bits_over_half((xxhash.xxh64_digest(joined[a:b], seed) for a, b in zip(starts, stops, strict=True)), len(starts))
+    return int.from_bytes(found, "big", signed=True)
 
 
-def simhash(text: Column, shingle: int = 4, words: int = 1, seed: int = 42) -> Column:
-    """``fingerprint`` as a struct of bigints f0, f1, ..., in Arrow batches."""
-    names = [f"f{i}" for i in range(words)]
+def simhash(text: Column, shingle: int = 4, seed: int = 42) -> Column:
+    """``fingerprint`` as a bigint, in Arrow batches."""
 
-    @F.pandas_udf(", ".join(f"{n} long" for n in names))
-    def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([fingerprint(t, shingle, words, seed) for t in texts], columns=names, dtype="int64")
+    @F.pandas_udf("long")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([fingerprint(t, shingle, seed) for t in texts], dtype="int64")
 
     return run(text)
 
@@ -96,137 +93,92 @@ def segments_needed(max_bits: int) -> int:
     return max(2, max_bits // 2 + 1)
 
 
+def wild_needed(max_bits: int) -> int:
+    """How many segments need wild bits.
+
+    Where all c segments differ, at most max_bits - c of them differ in two bits or
+    more, so among one more than that some segment differs in one bit.
+    """
+    return max(0, max_bits - segments_needed(max_bits) + 1)
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def signature_rows(nodes: DataFrame, indexed: str, cut: list[tuple[int, int]]) -> DataFrame:
-    """Index rows (key and the columns of nodes) by segments of one of the words: for each a plain row and one row for each wild bit.
+def signature_rows(nodes: DataFrame, max_bits: int) -> DataFrame:
+    """(key, f): index rows of fingerprints f, a plain one for each segment and one for each wild bit.
 
     A key has the variant's number above bit 44, which is the wild bit's or from 64
     on the plain segment's, and the segment's other bits below.
     """
-    variants = []
-    for s, (low, width) in enumerate(cut):
+    variants, wild = [], wild_needed(max_bits)
+    for s, (low, width) in enumerate(segments(segments_needed(max_bits))):
         mask = ((1 << width) - 1) << low
         variants.append(f"struct({BITS + s}L AS v, {_signed(mask)}L AS mask, {low} AS low)")
-        variants += [f"struct({i}L AS v, {_signed(mask & ~(1 << i))}L AS mask, {low} AS low)" for i in range(low, low + width)]
+        if s < wild:
+            variants += [f"struct({i}L AS v, {_signed(mask & ~(1 << i))}L AS mask, {low} AS low)" for i in range(low, low + width)]
     spread = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    each = nodes.repartition(spread).select(*nodes.columns, F.expr(f"inline(array({', '.join(variants)}))").alias("v", "mask", "low"))
-    return each.select(F.expr(f"shiftleft(v, 44) | shiftrightunsigned({indexed} & mask, low)").alias("key"), *nodes.columns)
-
-
-def _wild_bit(indexed: str) -> Column:
-    """Value of the bit that is wild in a row's key; null for a plain key."""
-    place = "shiftrightunsigned(key, 44)"
-    return F.expr(f"CASE WHEN {place} < {BITS} THEN cast(shiftrightunsigned({indexed}, cast({place} AS int)) & 1 AS int) END")
+    each = nodes.repartition(spread).select("f", F.expr(f"inline(array({', '.join(variants)}))").alias("v", "mask", "low"))
+    return each.select(F.expr("shiftleft(v, 44) | shiftrightunsigned(f & mask, low)").alias("key"), "f")
 
 
-def _distance(words: list[str], a: str, b: str) -> Column:
-    """Bits in which two structs, or aliased tables, of words differ."""
-    each = [F.bit_count(F.col(f"{a}.{w}").bitwiseXOR(F.col(f"{b}.{w}"))) for w in words]
-    return sum(each[1:], each[0])
+def _apart(a: str, b: str) -> Column:
+    """Whether two fingerprints of one key differ in its wild bit; under a plain key always true."""
+    place = "shiftrightunsigned(l.key, 44)"
+    return F.expr(f"{place} >= {BITS} OR (shiftrightunsigned({a} ^ {b}, cast({place} AS int)) & 1) = 1")
 
 
-def _node(words: list[str], of: str | None = None) -> Column:
-    """A fingerprint's number: itself, or a hash of its words."""
-    names = [f"{of}.{w}" if of else w for w in words]
-    return F.col(names[0]) if len(names) == 1 else F.xxhash64(*names)
+def link_components(nodes: DataFrame, max_bits: int, label: str = "simhash") -> DataFrame:
+    """(node, root) of every fingerprint linked to another, root the least reachable.
 
-
-def _buckets(rows: DataFrame, words: list[str]) -> DataFrame:
-    """(key, members, lo, hi, mid) of each key of two or more: least and greatest fingerprint, and of three the third.
-
-    Where rows have a root, keys whose members are all of one root are left out.
-    """
-    if len(words) == 1:  # plain numbers aggregate by hash
-        ends = [F.struct(f(words[0]).alias(words[0])).alias(n) for f, n in ((F.min, "lo"), (F.max, "hi"))]
-    else:
-        ends = [F.min(F.struct(*words)).alias("lo"), F.max(F.struct(*words)).alias("hi")]
-    open_key = F.min("root") != F.max("root") if "root" in rows.columns else F.lit(True)
-    found = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members"), open_key.alias("open"), *ends, *[F.bit_xor(w).alias(f"xor_{w}") for w in words])
-    found = found.filter("members > 1 AND open")
-    mid = F.struct(*[F.col(f"xor_{w}").bitwiseXOR(F.col(f"lo.{w}")).bitwiseXOR(F.col(f"hi.{w}")).alias(w) for w in words])
-    return found.select("key", "members", "lo", "hi", mid.alias("mid"))
-
-
-def link_components(nodes: DataFrame, words: list[str], max_bits: int, count: int | None = None, first_alone: bool = False, label: str = "simhash") -> DataFrame:
-    """(node, root) of every node linked to another, root the least node reachable.
-
-    nodes: a row for each distinct fingerprint of 64-bit ``words`` (never null).
-    A node's number is its only word, or a hash of its words. Nodes link at
-    max_bits or fewer differing bits over all words. Each word is cut into
-    ``count`` segments and indexed in one pass; what one pass finds the next needn't
-    find again. With first_alone, the first segment has a pass of its own, so that a
-    group of near copies fills a few buckets and not those of every segment. The
-    search is complete up to 2 * count * len(words) - 1 bits; beyond that it finds
-    the pairs that agree in a segment but for one bit.
+    nodes: a row for each distinct fingerprint f, a bigint that is never null. They
+    link at max_bits or fewer differing bits; no link between components is missed.
     """
-    cut = segments(count or segments_needed(max_bits))
-    passes = [(words[0], cut[:1]), (words[0], cut[1:])] if first_alone else [(words[0], cut)]
-    known = None
-    for number, (word, part) in enumerate(passes + [(word, cut) for word in words[1:]]):
-        now = _link_by(nodes, words, word, part, max_bits, known, f"{label}-{number}")
-        if known is not None:
-            discard(known)
-        known = now
-    return known
-
-
-def _link_by(nodes: DataFrame, words: list[str], indexed: str, cut: list[tuple[int, int]], max_bits: int, known: DataFrame | None, label: str) -> DataFrame:
-    """(node, root) by the links that an index of segments of a word finds and those known; buckets within a known component are passed over."""
-    if known is not None:
-        nodes = nodes.withColumn("node", _node(words)).join(known, "node", "left").select(*words, F.coalesce("root", "node").alias("root"))
-    rows = signature_rows(nodes, indexed, cut)
 
     def near(a: str, b: str) -> Column:
-        return _distance(words, a, b) <= max_bits
+        return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= max_bits
 
+    rows = signature_rows(nodes, max_bits)
+    buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("f").alias("lo"), F.max("f").alias("hi"), F.bit_xor("f").alias("all")).filter("members > 1")
+    buckets = buckets.withColumn("mid", F.expr("all ^ lo ^ hi"))
     # A bucket of two or three is decided by its row alone, and forgotten if its members are far apart.
     pairs = [("lo", "hi"), ("lo", "mid"), ("hi", "mid")]
-    near_pairs = F.filter(
-        F.array(*[F.when(near(a, b) & ((F.col("members") == 3) if "mid" in (a, b) else F.lit(True)), F.struct(_node(words, a).alias("a"), _node(words, b).alias("b"))) for a, b in pairs]),
-        lambda x: x.isNotNull(),
-    )
-    found = _buckets(rows, words).withColumn("links", F.when(F.col("members") < 4, near_pairs))
+    each = [F.when(near(a, b) & ((F.col("members") == 3) if b == "mid" else F.lit(True)), F.struct(F.col(a).alias("a"), F.col(b).alias("b"))) for a, b in pairs]
+    found = buckets.withColumn("links", F.when(F.col("members") < 4, F.filter(F.array(*each), lambda x: x.isNotNull())))
     found = materialize(found.filter("members > 3 OR size(links) > 0").select("key", "lo", "hi", "links"), f"{label}-buckets")
     stars = found.filter("links IS NOT NULL").select(F.explode("links").alias("l")).select("l.a", "l.b")
-
-    if known is not None:
-        stars = stars.unionAll(known.select(F.col("node").alias("a"), F.col("root").alias("b")))
     large = found.filter("links IS NULL").select("key", "lo", "hi")
     if large.isEmpty():
-        result = materialize(connected_components(stars, f"{label}-stars"), f"{label}-linked")
+        result = connected_components(stars, f"{label}-stars")
         discard(found)
         return result
 
     # Larger buckets: star links to two pivots. Rows of other keys are cleared before the shuffle.
     marks = materialize(bit_filter(large, "key"), f"{label}-filter")
-    index = with_hit(rows.select("key", *words), "key", marks, "hit").filter("hit").drop("hit").join(large.hint("shuffle_hash"), "key")
+    index = with_hit(rows, "key", marks, "hit").filter("hit").drop("hit").join(large.hint("shuffle_hash"), "key")
     index = materialize(index, f"{label}-index")
-    me = index.select(F.struct(*words).alias("x"), "lo", "hi")
     for pivot in ("lo", "hi"):
-        stars = stars.unionAll(me.filter(near("x", pivot)).select(_node(words, "x").alias("a"), _node(words, pivot).alias("b")).filter("a <> b"))
-    first = materialize(connected_components(stars, f"{label}-stars"), f"{label}-first")
+        stars = stars.unionAll(index.filter(near("f", pivot)).select(F.col("f").alias("a"), F.col(pivot).alias("b")).filter("a <> b"))
+    first = connected_components(stars, f"{label}-stars")
 
     # What the pivots left apart: members of a bucket in different components.
-    placed = index.select("key", *words, _node(words).alias("node"), _wild_bit(indexed).alias("bit"))
-    placed = materialize(placed.join(first, "node", "left").withColumn("root", F.coalesce("root", "node")), f"{label}-placed")
+    placed = index.select("key", "f").join(first.withColumnRenamed("node", "f"), "f", "left").select("key", "f", F.coalesce("root", "f").alias("root"))
+    placed = materialize(placed, f"{label}-placed")
     sizes = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("members"))
-    split = sizes.groupBy("key").agg(F.max_by("root", F.struct("members", "root")).alias("major"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("key", "major")
-    open_rows = materialize(placed.join(split, "key"), f"{label}-open")
-    # Under a wild key the bit itself differs; under a plain key nothing does.
-    apart = F.coalesce(F.col("l.bit") != F.col("r.bit"), F.lit(True))
-    minor = open_rows.filter("root <> major").alias("l")
-    links = minor.join(
-        open_rows.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.root") != F.col("r.root")) & apart & near("l", "r")
-    ).select(F.col("l.root").alias("a"), F.col("r.root").alias("b"))
+    split = sizes.groupBy("key").agg(F.max_by("root", F.struct("members", "root")).alias("major"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
+    split = materialize(split.select(F.col("key").alias("at"), "major"), f"{label}-split")
+    minor = materialize(placed.join(split, (F.col("key") == F.col("at")) & (F.col("root") != F.col("major"))).select("key", "f", "root"), f"{label}-minor")
+    open_keys = materialize(bit_filter(split, "at"), f"{label}-open")
+    rest = with_hit(placed, "key", open_keys, "hit").filter("hit").drop("hit")
+    meet = (F.col("l.key") == F.col("r.key")) & (F.col("l.root") != F.col("r.root")) & _apart("l.f", "r.f") & near("l.f", "r.f")
+    links = minor.alias("l").join(rest.alias("r"), meet).select(F.col("l.root").alias("a"), F.col("r.root").alias("b"))
     links = materialize(links.distinct(), f"{label}-links")
-    done = [found, marks, index, placed, open_rows, links]
+    done = [found, marks, index, placed, split, minor, open_keys, links]
     if links.isEmpty():
         result = first
     else:
-        second = materialize(connected_components(links, f"{label}-joined"), f"{label}-second")
+        second = connected_components(links, f"{label}-joined")
         linked = first.unionAll(second.select("node", F.col("node").alias("root")).join(first.select("node"), "node", "left_anti"))
         onward = second.select(F.col("node").alias("root"), F.col("root").alias("top"))
         result = materialize(linked.join(onward, "root", "left").select("node", F.coalesce("top", "root").alias("root")), f"{label}-linked")
@@ -236,28 +188,6 @@ def _link_by(nodes: DataFrame, words: list[str], indexed: str, cut: list[tuple[i
     return result
 
 
-def near_duplicate_classes(
-    fingerprints: DataFrame, words: list[str], id_col: str, max_bits: int, count: int | None = None, first_alone: bool = False, label: str = "simhash"
-) -> DataFrame:
-    """Class of every distinct fingerprint that several rows or links share.
-
-    fingerprints: id_col and words, one row a document; never null words. Returns
-    (words, class, component_id): a number of the class, and the least id_col in
-    reach over links of max_bits or fewer differing bits, null ids passed over
-    (null if all are). Fingerprints of one row without links aren't listed; they
-    are classes of their own.
-    """
-    distinct = materialize(
-        fingerprints.groupBy(*words).agg(F.min(id_col).alias("least"), F.count(F.lit(1)).alias("copies")).withColumn("node", _node(words)), f"{label}-distinct"
-    )
-    linked = link_components(distinct.select(*words), words, max_bits, count, first_alone, label)
-    of_links = distinct.join(linked, "node")
-    tops = of_links.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_links = of_links.join(tops, "root").select(*words, F.col("root").alias("class"), "component_id")
-    by_copies = distinct.filter("copies > 1").join(linked.select("node"), "node", "left_anti").select(*words, F.col("node").alias("class"), F.col("least").alias("component_id"))
-    return by_links.union(by_copies)
-
-
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 4, max_bits: int = 4, label: str = "simhash") -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row of docs.
 
@@ -267,12 +197,21 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     component unless no other id is in reach (then null). An empty table gives an
     empty result; other columns are passed over.
     """
-    prints = docs.select(F.col(id_col).alias("doc_id"), simhash(F.col(text_col), shingle).alias("f")).select("doc_id", "f.*")
-    prints = materialize(prints, f"{label}-prints")
-    classes = near_duplicate_classes(prints, ["f0"], "doc_id", max_bits, label=label)
-    return prints.join(classes, "f0", "left").select(
+    prints = materialize(docs.select(F.col(id_col).alias("doc_id"), simhash(F.col(text_col), shingle).alias("f")), f"{label}-prints")
+    distinct = materialize(prints.groupBy("f").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")), f"{label}-distinct")
+    linked = link_components(distinct.select("f"), max_bits, label)
+    of_links = distinct.join(linked.withColumnRenamed("node", "f"), "f")
+    tops = of_links.groupBy("root").agg(F.min("least").alias("component_id"))
+    classes = of_links.join(tops, "root").select("f", "component_id")
+    # Fingerprints of one row without links are classes of their own.
+    copied = distinct.filter("copies > 1").join(linked.select(F.col("node").alias("f")), "f", "left_anti").select("f", F.col("least").alias("component_id"))
+    classes = materialize(classes.unionAll(copied), f"{label}-classes")
+    discard(distinct)
+    discard(linked)
+    # Copies share a key: the classes are read from a table, so that a hot one is split.
+    return prints.join(classes, "f", "left").select(
         "doc_id",
-        F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"),
+        F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"),
         F.coalesce("component_id", "doc_id").alias("component_id"),
     )
 
@@ -297,14 +236,3 @@ def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sh
     # Rows to drop, by a key that each has alone.
     others = materialize(members.select("__at").join(first, "__at", "left_anti"), f"{label}-others")
     return without_keys(rows, others, "__at").select("__row.*")
-
-
-def bits_for_similarity(similarity: float, bits: int) -> int:
-    """Bits within which five in six pairs of shingle sets of so high a Jaccard similarity stay, by SimHash's angle.
-
-    Sets of one size and Jaccard similarity j have the cosine 2j / (1 + j), and a
-    bit differs with the angle's share of a half turn; to the bits expected comes
-    one standard deviation of their number.
-    """
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.floor(bits * share + math.sqrt(bits * share * (1 - share)))

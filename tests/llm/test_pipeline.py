@@ -6,34 +6,14 @@ import os
 import duckdb
 
 import corpus_pipeline
-from tabwright.llm import bpe, secrets, simhash
+from tabwright.llm import bpe, secrets
 from tests.llm import brute
+from tests.llm.test_jaccard import keep_one
 from tests.llm.test_quality import verdicts
 
 SF = "/root/testdata/sf0.001"
 
 
-def keep_one(rows):
-    """Rows (doc_id, text) with the least id of each class of 128-bit SimHashes."""
-    codes = [simhash.fingerprint(t, 5, words=2) for _, t in rows]
-    whole = [(a & (2**64 - 1)) << 64 | (b & (2**64 - 1)) for a, b in codes]
-    masks = [((1 << w) - 1) << a << 64 * k for k in (0, 1) for a, w in simhash.segments(3)]
-    parent = list(range(len(rows)))
-
-    def top(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    for i in range(len(rows)):
-        for j in range(i):
-            x = whole[i] ^ whole[j]
-            if x.bit_count() <= 23 and any((x & m).bit_count() <= 1 for m in masks):
-                a, b = sorted((top(i), top(j)))
-                parent[b] = a
-    return [rows[i] for i in range(len(rows)) if top(i) == i]
-
-
 def redact(text):
     spans, out, at = sorted((a, b) for _, a, b in brute.op5(text)), [], 0
     for a, b in spans:
@@ -46,7 +26,8 @@ def redact(text):
 def test_run_equals_brute_force(spark):
     rows = duckdb.sql(f"SELECT doc_id, text, source FROM '{SF}/documents.parquet' ORDER BY doc_id").fetchall()
     good = [(i, t) for (i, t, s), k in zip(rows, verdicts([(t, s) for _, t, s in rows]), strict=True) if k]
-    kept = keep_one(good)
+    ids = keep_one(good)
+    kept = [row for row in good if row[0] in ids]
     library = brute.library(bpe.default_tokenizer_path())
     want = {i: [*library.encode(redact(t), add_special_tokens=False).ids, 1] for i, t in kept}
     got = {}
