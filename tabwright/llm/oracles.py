@@ -31,9 +31,11 @@ flagged AS (
   FROM measured),
 hosts AS (SELECT host, count(*)::DOUBLE AS n, count(*) FILTER (WHERE hard OR soft)::DOUBLE AS f FROM flagged GROUP BY host),
 moments AS (SELECT avg(f / n) AS m, var_pop(f / n) AS v FROM hosts),
-prior AS (SELECT m, CASE WHEN v > 0 THEN greatest(0, m * (1 - m) / v - 1) ELSE 0 END AS weight FROM moments),
-rates AS (SELECT host, (f + m * weight) / (n + weight) AS rate FROM hosts, prior)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, hard AS base_failed, NOT hard AND NOT (soft AND rate > {rules.host_rate}) AS kept
+prior AS (SELECT m, v, CASE WHEN v > 1e-12 THEN greatest(0, m * (1 - m) / v - 1) ELSE 0 END AS weight FROM moments),
+shrunk AS (SELECT host, n, m, v, weight, CASE WHEN n - 1 + weight > 0 THEN (greatest(f - 1, 0) + m * weight) / (n - 1 + weight) ELSE m END AS rate FROM hosts, prior),
+rates AS (
+  SELECT host, v > 1e-12 AND (rate >= 1 OR rate > 0 AND (rate - m) / sqrt(rate * (1 - rate) / (n + weight)) > {rules.host_deviations}) AS condemned FROM shrunk)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, hard AS base_failed, NOT hard AND NOT (soft AND condemned) AS kept
 FROM flagged JOIN rates ON flagged.host IS NOT DISTINCT FROM rates.host"""
 
 

@@ -4,7 +4,8 @@ Each text is measured and held against hard rules, which reject it, and soft
 rules, which alone don't. Failures are counted by host. A host's failure rate is
 shrunk towards the rate of all hosts by a beta prior that the method of moments
 fits to the hosts' own rates, so that a host of few documents isn't condemned by
-one. Documents of a condemned host go if they fail a soft rule themselves; clean
+few. A host is condemned where its posterior lies clearly above the prior's mean.
+Documents of a condemned host go if they fail a soft rule themselves; clean
 documents stay wherever they come from.
 """
 
@@ -30,8 +31,11 @@ class QualityRules:
     Hard: fewer words than min_words; repeated words above max_repeat_percent of
     all. Soft: more symbols than max_symbols_per_word a word; duplicate lines
     above max_dup_line_percent of the lines with a word; a mean word length
-    outside mean_word_chars. A host is condemned when its shrunk rate of
-    documents that fail any rule is above host_rate.
+    outside mean_word_chars. A host is condemned when the shrunk rate of its
+    documents that fail any rule lies above the mean of all hosts by more than
+    host_deviations of the posterior's standard deviation (0.84: in four of five
+    cases it is a worse host than most). One failure is left out of the count, so
+    that no document is condemned by itself.
     """
 
     min_words: int = 10
@@ -39,7 +43,7 @@ class QualityRules:
     max_symbols_per_word: float = 0.5
     max_dup_line_percent: int = 30
     mean_word_chars: tuple[float, float] = (2.0, 20.0)
-    host_rate: float = 0.5
+    host_deviations: float = 0.84
 
 
 def _windows(hashes: Column) -> Column:
@@ -102,27 +106,41 @@ def soft_failed(m: Column, rules: QualityRules) -> Column:
 
 
 def host_rates(flagged: DataFrame, host: str) -> DataFrame:
-    """(host, n_docs, n_failed, rate): each host's failure rate, shrunk by an empirical beta prior.
+    """(host, n_docs, n_failed, rate, deviations): each host's failure rate without one failure, shrunk by an empirical beta prior.
 
     flagged: a host column and booleans hard and soft. Counts are summed where
     the rows lie, so a hot host costs no more than another. The prior's mean and
     weight come from the mean and variance of the hosts' rates: weight =
-    mean * (1 - mean) / variance - 1. Where all hosts have one rate, the variance
-    says nothing and each host keeps its own. A null host is a host.
+    mean * (1 - mean) / variance - 1. deviations tells by how many standard
+    deviations of the posterior, a beta distribution of weight and documents, the
+    rate lies above the prior's mean; 0 where all hosts have one rate, as then
+    the variance says nothing. A null host is a host.
     """
     counts = flagged.groupBy(host).agg(F.count(F.lit(1)).alias("n_docs"), F.count_if(F.col("hard") | F.col("soft")).alias("n_failed"))
     raw = F.col("n_failed") / F.col("n_docs")
     prior = counts.agg(F.avg(raw).alias("mean"), F.var_pop(raw).alias("variance")).first()  # two numbers
     mean, variance = prior["mean"] or 0.0, prior["variance"] or 0.0
-    weight = max(0.0, mean * (1 - mean) / variance - 1) if variance > 0 else 0.0
-    return counts.select(host, "n_docs", "n_failed", ((F.col("n_failed") + mean * weight) / (F.col("n_docs") + weight)).alias("rate"))
+    weight = max(0.0, mean * (1 - mean) / variance - 1) if variance > 1e-12 else 0.0
+    others, failed = F.col("n_docs") - 1, F.greatest(F.col("n_failed") - 1, F.lit(0))
+    rate = F.when(others + weight > 0, (failed + mean * weight) / (others + weight)).otherwise(mean)
+    spread = F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("n_docs") + weight))
+    above = F.when(F.col("rate") >= 1, F.lit(float("inf"))).when(spread > 0, (F.col("rate") - mean) / spread).otherwise(0.0)
+    found = counts.withColumn("rate", rate)
+    return found.select(host, "n_docs", "n_failed", "rate", (above if variance > 1e-12 else F.lit(0.0)).alias("deviations"))
 
 
-def judge(flagged: DataFrame, host: str, rules: QualityRules) -> DataFrame:
-    """Add boolean ``kept`` to flagged rows (see ``host_rates``), by the verdicts on their hosts."""
-    verdicts = host_rates(flagged, host).select(F.col(host).alias("__host"), (F.col("rate") > rules.host_rate).alias("__condemned"))
-    joined = flagged.join(verdicts, F.equal_null(F.col(host), F.col("__host")))
-    return joined.withColumn("kept", ~F.col("hard") & ~(F.col("__condemned") & F.col("soft"))).drop("__host", "__condemned")
+def judge(flagged: DataFrame, host: str, rules: QualityRules, label: str = "quality") -> DataFrame:
+    """Add boolean ``kept`` to flagged rows (see ``host_rates``), by the verdicts on their hosts.
+
+    Only rows that fail a soft rule alone are joined with the condemned hosts, which
+    are written first, so that the rows of a hot host are split.
+    """
+    rates = host_rates(flagged, host)
+    condemned = materialize(rates.filter(F.col("deviations") > rules.host_deviations).select(F.col(host).alias("__host"), F.lit(True).alias("__bad")), f"{label}-hosts")
+    doubtful = ~F.col("hard") & F.col("soft")
+    joined = flagged.filter(doubtful).join(condemned, F.equal_null(F.col(host), F.col("__host")), "left")
+    judged = joined.withColumn("kept", F.col("__bad").isNull()).drop("__host", "__bad")
+    return flagged.filter(~doubtful).withColumn("kept", ~F.col("hard")).unionByName(judged)
 
 
 def quality_report(docs: DataFrame, text_col: str = "text", host_col: str = "source", id_col: str = "doc_id", rules: QualityRules = QualityRules()) -> DataFrame:
@@ -152,9 +170,4 @@ def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source",
     m = F.col("__m")
     flagged = measured.select("__row", F.col(f"__row.{host_col}").alias("host"), hard_failed(m, rules).alias("hard"), soft_failed(m, rules).alias("soft"))
     flagged = materialize(flagged, "quality-rows", compression="zstd")
-    hosts = host_rates(flagged.select("host", "hard", "soft"), "host")
-    condemned = hosts.filter(F.col("rate") > rules.host_rate).select(F.col("host").alias("__host"))
-    # Only rows that fail softly need their host's verdict.
-    passed = flagged.filter(~F.col("hard") & ~F.col("soft"))
-    doubtful = flagged.filter(~F.col("hard") & F.col("soft")).join(condemned, F.equal_null(F.col("host"), F.col("__host")), "left_anti")
-    return passed.select("__row.*").unionAll(doubtful.select("__row.*"))
+    return judge(flagged, "host", rules, "quality").filter("kept").select("__row.*")

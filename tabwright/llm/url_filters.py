@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tabwright.llm.common import materialize
+
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([^/?#][^?#]*)"
 
@@ -57,8 +59,10 @@ def filter_urls(captures: DataFrame, events: DataFrame, url_col: str = "url", id
     time match nothing. Repeated captures each have a row; an empty list blocks
     nothing; empty captures give no rows; other columns are passed over. Distinct
     pairs of keys and time are evaluated once, however many captures
-    have them. The list is broadcast only if Spark finds it small enough; else a
-    hot key's rows are split by adaptive execution.
+    have them, and what they give is written, so that the rows of a hot host and
+    day are split by adaptive execution; captures that match nothing, as they lack
+    a host or a time, go around the join. The list is broadcast only if Spark
+    finds it small enough.
     """
     url = F.col(url_col)
     picked = captures.select(F.col(id_col).alias("page_id"), url.alias("url"), F.col(time_col).alias("fetched_at"))
@@ -73,7 +77,10 @@ def filter_urls(captures: DataFrame, events: DataFrame, url_col: str = "url", id
     best = held.groupBy("__key", "fetched_at").agg(
         F.count(F.lit(1)).alias("n_active"), F.max(F.struct(F.length("entry").alias("n"), "entry", "action", "valid_from")).alias("__best")
     )
-    return picked.join(best, ["__key", "fetched_at"], "left").select(
+    best = materialize(best, "url-best")
+    matched = picked.filter("__key IS NOT NULL AND fetched_at IS NOT NULL").join(best, ["__key", "fetched_at"], "left")
+    around = picked.filter("__key IS NULL OR fetched_at IS NULL").withColumns({"n_active": F.lit(None).cast("long"), "__best": F.lit(None).cast(best.schema["__best"].dataType)})
+    return matched.unionByName(around).select(
         "page_id",
         "url",
         "host",

@@ -21,8 +21,14 @@ def verdicts(rows, rules=quality.QualityRules()):
     rates = {h: sum(f) / len(f) for h, f in hosts.items()}
     mean = sum(rates.values()) / len(rates)
     variance = sum((r - mean) ** 2 for r in rates.values()) / len(rates)
-    weight = max(0, mean * (1 - mean) / variance - 1) if variance else 0
-    bad = {h for h, f in hosts.items() if (sum(f) + mean * weight) / (len(f) + weight) > rules.host_rate}
+    bad = set()
+    if variance > 1e-12:
+        weight = max(0, mean * (1 - mean) / variance - 1)
+        for h, f in hosts.items():
+            n = len(f) - 1 + weight
+            rate = (max(0, sum(f) - 1) + mean * weight) / n if n else mean
+            if rate >= 1 or rate > 0 and (rate - mean) / (rate * (1 - rate) / (n + 1)) ** 0.5 > rules.host_deviations:
+                bad.add(h)
     return [not hard and not (soft and host in bad) for hard, soft, host in facts]
 
 
@@ -35,6 +41,18 @@ def test_op9_equals_brute_force(spark, small):
     assert {r[0]: tuple(r)[1:] for r in queries.op9_quality(spark, SF).collect()} == want
 
 
+def test_host_verdicts_reach_documents(spark):
+    """Without the hosts' verdicts the registered query's rows differ."""
+    import dataclasses
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    with_hosts = quality.quality_report(docs)
+    without = quality.quality_report(docs, rules=dataclasses.replace(quality.QualityRules(), host_deviations=float("inf")))
+    rejected = with_hosts.filter("NOT kept AND NOT base_failed")
+    assert without.filter("NOT kept AND NOT base_failed").count() == 0 < rejected.count()
+    assert rejected.filter("NOT soft_failed").count() == 0
+
+
 def test_edge_rows(spark, edge, nothing):
     got = sorted((tuple(r) for r in quality.quality_report(edge).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept").collect()), key=str)
     kept = verdicts([(t, s) for _, t, s in EDGE_ROWS])

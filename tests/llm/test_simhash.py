@@ -151,7 +151,7 @@ def test_hot_nodes_are_split(spark):
         plans.append(df._jdf.queryExecution().executedPlan().toString())
         return keep(df, label)
 
-    edges = keep(spark.range(200_000).select(F.when(F.col("id") % 3 > 0, F.lit(0)).otherwise(F.col("id") // 7).alias("b"), (F.col("id") + 1_000_000).alias("a")).repartition(16), "hub")
+    edges = keep(spark.range(200_000).select(F.when(F.col("id") % 3 > 0, F.lit(0)).otherwise(F.expr("id div 7")).alias("b"), (F.col("id") + 1_000_000).alias("a")).repartition(16), "hub")
     try:
         for k, v in hot.items():
             spark.conf.set(k, v)
