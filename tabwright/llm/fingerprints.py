@@ -1,13 +1,13 @@
 """Merkle fingerprints of documents, in DataFrame functions only.
 
-A text's first 128 code points are a section of their own; further sections end
-after an empty line. A section's paragraphs end after a line break, and a paragraph
-is cut into leaves that end with a sentence or after 48 code points, in the first
-section after 8, so that short texts have leaves enough to be compared. No
-character is lost in cutting. A paragraph's hash is of its text,
-a section's of its paragraphs' hashes, and the root is of the sections', so equal
-roots mean equal texts, and where roots differ the branches that differ lead to
-the edits. The fingerprint spells the tree:
+Sections end after an empty line and paragraphs after a line break. A paragraph is
+cut into leaves by its content: a leaf ends after white space that follows an e, an
+s or a mark that ends a sentence, or after 32 code points, so an edit changes the
+leaves about it and no others. The rule is one for the whole text, and no
+character is lost in cutting. A paragraph's hash is of its text, a section's of its
+paragraphs' hashes, and the root is of the sections', so equal roots mean equal
+texts, and where roots differ the branches that differ lead to the edits. The
+fingerprint spells the tree:
 
     root:paragraph.leaf,leaf;paragraph.leaf|...
 
@@ -23,49 +23,39 @@ from pyspark.sql.window import Window
 
 SECTION_END = r"(?<=\n\n)"
 PARAGRAPH_END = r"(?<=\n)"
-#: Up to so many characters before the marks that end a sentence, then these and a space; or such marks alone.
-LEAF, FINE_LEAF = (rf"[^.!?]{{1,{most}}}[.!?]*\s?|[.!?]+\s?" for most in (48, 8))
-#: Code points of the section of fine leaves, and a fine leaf's weight in likeness beside others.
-OPENING, FINE_WEIGHT = 128, 0.25
+#: The least text up to a mark and white space, within 32 code points, or 32 of them, or the rest.
+LEAF = r"[\s\S]{0,30}?[es.!?]\s|[\s\S]{1,32}"
 #: Text bytes of a range of neighbours, and the most ranges (this bounds what is broadcast).
 RANGE_BYTES, MOST_RANGES = 4_000_000, 1 << 18
 _CUTS = 64
 
 
 def add_tree(rows: DataFrame, text: Column, name: str) -> DataFrame:
-    """Add a text's tree to rows: struct of root, fine and other leaves (arrays of int) and fingerprint. A null text is empty."""
+    """Add a text's tree to rows: struct of root, leaves (distinct, array of int) and fingerprint. A null text is empty."""
     whole = F.coalesce(text, F.lit(""))
 
-    def section(part: Column, leaf: str) -> Column:
-        def paragraph(p: Column) -> Column:
-            return F.struct(F.md5(p.cast("binary")).alias("hash"), F.transform(F.regexp_extract_all(p, F.lit(leaf), F.lit(0)), lambda x: F.hash(x)).alias("leaves"))
-
-        return F.transform(F.split(part, PARAGRAPH_END), paragraph)
-
-    opening = F.substring(whole, F.lit(1), F.lit(OPENING))
-    rest = F.substring(whole, F.lit(OPENING + 1), F.length(whole))
-    stage = rows.withColumns({"__opening": section(opening, FINE_LEAF), "__rest": F.transform(F.split(rest, SECTION_END), lambda s: section(s, LEAF))})
-    stage = stage.withColumn("__sections", F.concat(F.array("__opening"), "__rest"))
-    section_hashes = F.transform("__sections", lambda s: F.md5(F.array_join(F.transform(s, lambda p: p["hash"]), ",").cast("binary")))
+    def paragraph(p: Column) -> Column:
+        return F.struct(F.md5(p.cast("binary")).alias("hash"), F.transform(F.regexp_extract_all(p, F.lit(LEAF), F.lit(0)), lambda x: F.hash(x)).alias("leaves"))
 
     def spell(p: Column) -> Column:
         return F.concat(F.substring(p["hash"], 1, 8), F.lit("."), F.array_join(F.transform(p["leaves"], lambda x: F.lower(F.hex(x.cast("long").bitwiseAND(0xFFFFFFFF)))), ","))
 
+    stage = rows.withColumn("__sections", F.transform(F.split(whole, SECTION_END), lambda s: F.transform(F.split(s, PARAGRAPH_END), paragraph)))
+    section_hashes = F.transform("__sections", lambda s: F.md5(F.array_join(F.transform(s, lambda p: p["hash"]), ",").cast("binary")))
     stage = stage.withColumns({
         "__root": F.sha2(F.array_join(section_hashes, ",").cast("binary"), 256),
         "__body": F.array_join(F.transform("__sections", lambda s: F.array_join(F.transform(s, spell), ";")), "|"),
-        "__fine": F.array_distinct(F.flatten(F.transform("__opening", lambda p: p["leaves"]))),
-        "__leaves": F.array_distinct(F.flatten(F.transform("__rest", lambda s: F.flatten(F.transform(s, lambda p: p["leaves"]))))),
+        "__leaves": F.array_distinct(F.flatten(F.transform("__sections", lambda s: F.flatten(F.transform(s, lambda p: p["leaves"]))))),
     })
-    tree = F.struct(F.col("__root").alias("root"), F.col("__fine").alias("fine"), F.col("__leaves").alias("leaves"), F.concat_ws(":", "__root", "__body").alias("fingerprint"))
-    return stage.withColumn(name, tree).drop("__opening", "__rest", "__sections", "__root", "__body", "__fine", "__leaves")
+    tree = F.struct(F.col("__root").alias("root"), F.col("__leaves").alias("leaves"), F.concat_ws(":", "__root", "__body").alias("fingerprint"))
+    return stage.withColumn(name, tree).drop("__sections", "__root", "__body", "__leaves")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Twice the weight of the distinct leaves that both trees have, over the weight of each one's; 1 for equal roots."""
-    shared = FINE_WEIGHT * F.size(F.array_intersect(a["fine"], b["fine"])) + F.size(F.array_intersect(a["leaves"], b["leaves"]))
-    every = FINE_WEIGHT * (F.size(a["fine"]) + F.size(b["fine"])) + F.size(a["leaves"]) + F.size(b["leaves"])
-    return F.when(a["root"] == b["root"], F.lit(1.0)).otherwise(2.0 * shared / F.greatest(every, F.lit(FINE_WEIGHT)))
+    """Twice the distinct leaves that both trees have, over the sum of each one's; 1 for equal roots."""
+    shared = F.size(F.array_intersect(a["leaves"], b["leaves"]))
+    every = F.size(a["leaves"]) + F.size(b["leaves"])
+    return F.when(a["root"] == b["root"], F.lit(1.0)).otherwise(2.0 * shared / F.greatest(every, F.lit(1)))
 
 
 def differing_branches(a: Column, b: Column) -> Column:
@@ -85,10 +75,11 @@ def differing_branches(a: Column, b: Column) -> Column:
 
 
 def _ranges(keys: DataFrame, size: Column) -> Column | None:
-    """A number that grows with ``__key``, the same for so many neighbours as hold RANGE_BYTES; None without rows.
+    """A number that grows with ``__key`` and then ``__tie``, the same for so many neighbours as hold RANGE_BYTES; None without rows.
 
-    Quantiles of the keys, 64 at most, come to the driver; between two of them
-    keys are dealt out evenly.
+    Quantiles of the keys, 64 at most, come to the driver. A key that is several
+    of them is hot: its rows are dealt out evenly by their tie, which is a hash.
+    Between two quantiles keys are dealt out evenly.
     """
     steps = [i / _CUTS for i in range(_CUTS + 1)]
     found = keys.agg(F.percentile_approx("__key", steps, 10_000).alias("cuts"), F.sum(size).alias("size"), F.min("__key").alias("low"), F.max("__key").alias("high")).first()
@@ -96,38 +87,48 @@ def _ranges(keys: DataFrame, size: Column) -> Column | None:
         return None
     cuts = sorted({found["low"], *found["cuts"]})
     wanted = min(MOST_RANGES, max(1, found["size"] // RANGE_BYTES))
-    each = -(-wanted // len(cuts))
     if wanted == 1:
         return F.lit(0)
+    each = -(-wanted // len(cuts))
+    # Ranges of a hot key's own rows.
+    own = [-(-wanted * found["cuts"].count(c) // _CUTS) if found["cuts"].count(c) > 1 else 1 for c in cuts]
+    step = max(own) + each
+    key = F.col("__key")
     marks = F.array(*[F.lit(c).cast("long") for c in [*cuts, found["high"]]])
-    at = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c <= F.col("__key")))
+    at = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c <= key))
     low, high = F.get(marks, at - 1).cast("double"), F.get(marks, at).cast("double")
-    share = F.when(high > low, F.least(F.floor((F.col("__key").cast("double") - low) / (high - low) * each), F.lit(each - 1))).otherwise(0)
-    return (at * each + share).cast("int")
+    share = F.when(high > low, F.least(F.floor((key.cast("double") - low) / (high - low) * each), F.lit(each - 1))).otherwise(0)
+    # Ties as fractions from 0 to 1.
+    fraction = F.shiftrightunsigned("__tie", 11).cast("double") / float(1 << 53)
+    of_tie = F.floor(F.least(fraction, F.lit(1 - 1e-9)) * F.get(F.array(*map(F.lit, own)), at - 1))
+    return (at.cast("long") * step + F.when(key == F.get(marks, at - 1), of_tie).otherwise(max(own) + share)).cast("long")
 
 
 def with_next(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
     """(doc_id, text, tree, next_text, next_tree): each row with its neighbour in descending ids, the first after the last.
 
     Rows are dealt out once, by ranges of ids; each range also gets the first row
-    of the range after it. Null ids come last; rows of one id follow by text.
-    Ids are integers.
+    of the range after it. Null ids come last; rows of one id follow by a hash of
+    their text, descending, and its text. Ids are integers.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
+    rows = rows.withColumns({"__key": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "__tie": F.xxhash64("text")})
     number = _ranges(rows, F.octet_length("text") + 8)
-    rows = rows.withColumn("__range", F.lit(0) if number is None else number)
+    rows = rows.withColumn("__range", F.lit(0).cast("long") if number is None else number.cast("long"))
+    # Ties are ordered as unsigned numbers, as the ranges are.
+    rows = rows.withColumn("__tie", F.col("__tie").bitwiseXOR(F.lit(-(1 << 63))))
     # The first row of a range, in descending order, has its greatest key; it also ends the range of greater keys.
-    heads = rows.groupBy("__range").agg(F.max("__key").alias("__head"))
+    heads = rows.groupBy("__range").agg(F.max(F.struct("__key", "__tie")).alias("h"))
     above = F.coalesce(F.lead("__range").over(Window.orderBy("__range")), F.first("__range").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    heads = heads.select("__head", above.alias("__above"))
-    placed = rows.join(F.broadcast(heads), F.col("__key") == F.col("__head"), "left")  # MOST_RANGES rows at most
+    heads = heads.select(F.col("h.__key").alias("__head"), F.col("h.__tie").alias("__head_tie"), above.alias("__above"))
+    placed = rows.join(F.broadcast(heads), (F.col("__key") == F.col("__head")) & (F.col("__tie") == F.col("__head_tie")), "left")  # twice MOST_RANGES rows at most
     homes = F.when(F.col("__above").isNull(), F.array(F.struct(F.col("__range").alias("range"), F.lit(0).alias("guest")))).otherwise(
         F.array(F.struct(F.col("__range").alias("range"), F.lit(0).alias("guest")), F.struct(F.col("__above").alias("range"), F.lit(1).alias("guest")))
     )
-    dealt = placed.select("doc_id", "text", "__key", F.explode(homes).alias("__home")).select("doc_id", "text", "__key", "__home.range", "__home.guest").repartition("range")
+    own = ["doc_id", "text", "__key", "__tie"]
+    dealt = placed.select(*own, F.explode(homes).alias("__home")).select(*own, "__home.range", "__home.guest").repartition("range")
     treed = add_tree(dealt, F.col("text"), "tree")
-    order = Window.partitionBy("range").orderBy("guest", F.desc("__key"), "text")
+    order = Window.partitionBy("range").orderBy("guest", F.desc("__key"), F.desc("__tie"), "text")
     following = F.lead(F.struct("text", "tree")).over(order)
     return treed.withColumn("next", following).filter("guest = 0").select("doc_id", "text", "tree", F.col("next.text").alias("next_text"), F.col("next.tree").alias("next_tree"))
 
@@ -147,8 +148,8 @@ def fingerprint_edits(docs: DataFrame, text_col: str = "text", id_col: str = "do
     paragraph, with the same fingerprint; likeness is 1 between equal texts and 0
     between texts without a common leaf. A table of one row is its own next;
     repeated rows follow each other; an empty table gives none; other columns are
-    passed over. A task holds a range of texts (RANGE_BYTES, or the rows of one
-    id), which the window's sort spills where it must.
+    passed over. A task holds a range of texts (RANGE_BYTES, or the copies of one
+    text under one id), which the window's sort spills where it must.
     """
     pairs = with_next(docs, text_col, id_col).withColumn("edited", edited_text(F.col("text"), F.col("next_text")))
     trees = add_tree(pairs.drop("next_text"), F.col("edited"), "edited_tree")

@@ -94,6 +94,64 @@ def op1_next(docs):
     return out
 
 
+def murmur(data, seed=42):
+    """Spark's hash of bytes: Murmur3 of 32 bits, the last bytes one by one as signed numbers."""
+
+    def mix(h, k):
+        k = k * 0xCC9E2D51 & 0xFFFFFFFF
+        k = (k << 15 | k >> 17) * 0x1B873593 & 0xFFFFFFFF
+        h ^= k
+        return ((h << 13 | h >> 19) * 5 + 0xE6546B64) & 0xFFFFFFFF
+
+    h, whole = seed, len(data) - len(data) % 4
+    for k in range(0, whole, 4):
+        h = mix(h, int.from_bytes(data[k : k + 4], "little"))
+    for b in data[whole:]:
+        h = mix(h, (b - 256 if b > 127 else b) & 0xFFFFFFFF)
+    h ^= len(data)
+    h = (h ^ h >> 16) * 0x85EBCA6B & 0xFFFFFFFF
+    h = (h ^ h >> 13) * 0xC2B2AE35 & 0xFFFFFFFF
+    return h ^ h >> 16
+
+
+def leaves(paragraph):
+    """A paragraph's leaves, cut at the first mark and white space within 32 characters."""
+    out, at = [], 0
+    while at < len(paragraph):
+        ends = [k for k in range(at + 1, min(at + 32, len(paragraph))) if paragraph[k] in " \t\n\x0b\f\r" and paragraph[k - 1] in "es.!?"]
+        end = ends[0] + 1 if ends else min(at + 32, len(paragraph))
+        out.append(paragraph[at:end])
+        at = end
+    return out
+
+
+def _ended(text, mark):
+    """Parts that end after each place where a mark ends, as between places of zero width."""
+    at = [k for k in range(len(mark), len(text)) if text[k - len(mark) : k] == mark]
+    return [text[a:b] for a, b in zip([0, *at], [*at, len(text)], strict=True)] + ([""] if text.endswith(mark) else [])
+
+
+def op1_tree(text):
+    """(fingerprint, distinct leaves) of a text."""
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    hashes, sections, distinct = [], [], set()
+    for section in _ended(text, "\n\n"):
+        own, spelled = [], []
+        for paragraph in _ended(section, "\n"):
+            codes = [murmur(x.encode()) for x in leaves(paragraph)]
+            distinct |= set(codes)
+            own.append(md5(paragraph))
+            spelled.append(f"{own[-1][:8]}." + ",".join(f"{c:x}" for c in codes))
+        hashes.append(md5(",".join(own)))
+        sections.append(";".join(spelled))
+    return hashlib.sha256(",".join(hashes).encode()).hexdigest() + ":" + "|".join(sections), distinct
+
+
+def op1_likeness(a, b):
+    (f, x), (g, y) = op1_tree(a), op1_tree(b)
+    return 1.0 if f.split(":")[0] == g.split(":")[0] else 2 * len(x & y) / max(1, len(x) + len(y))
+
+
 PII = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
