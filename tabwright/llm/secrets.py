@@ -6,11 +6,15 @@ drawn at random from their alphabet, which is inferred: hex in either case, base
 32, letters and digits of one case, of both, or base 64. Three tests are made: a
 chi-squared test of the characters' counts, a test of the number of runs above
 and below the alphabet's middle, and one of the correlation of neighbours. Their
-p-values are combined by Fisher's method. The runs that are not random are then
-told apart from the rest by Benjamini and Hochberg's procedure within each band of
-lengths, as short runs make weak tests and would otherwise pay for long ones. Runs
-that survive, and are of so many bits that words and counters hardly could, are
-reported as ``random``.
+p-values are combined by Fisher's method: the greater p, the more random a run looks.
+
+How random ordinary text looks is learnt from decoys: every text, without its long
+runs and without what separates words, is cut into pieces of a length, and those
+that hold a digit and a letter, as runs must, take the same tests. A run's own
+p-value under the hypothesis that it is ordinary text is the share of decoys of its
+band of lengths that look as random. Benjamini and Hochberg's procedure on these,
+band by band as short runs make weak tests, bounds the share of ordinary text
+among what is reported as ``random``. A band without enough decoys reports nothing.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tabwright.llm.common import materialize
+from tabwright.llm.common import discard, materialize
 from tabwright.llm.spans import Pattern, find_spans
 
 KINDS = ("assign", "access", "hex", "random")
@@ -44,15 +48,16 @@ ENCODINGS = (
     ("base64", "^[A-Za-z0-9+/]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
     ("base64url", "^[A-Za-z0-9_-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
 )
-#: Least lengths of the bands.
+#: Least lengths of the bands, and the length of decoys in each.
 BANDS = (20, 28, 40, 64)
+DECOYS = (24, 34, 52, 80)
 _BINS = 400
 
 
 @dataclass(frozen=True)
 class Battery:
-    """false_discovery: share of random runs among those called not random, in each band; min_p: runs of a lesser
-    p are never reported; min_bits: least length times the bits of a character of the alphabet."""
+    """false_discovery: share of ordinary text among the runs reported, in each band; min_p: runs that are so
+    unlikely to be random are never reported; min_bits: least length times the bits of a character of the alphabet."""
 
     false_discovery: float = 0.05
     min_p: float = 0.01
@@ -109,26 +114,47 @@ def band_of(length: Column) -> Column:
     return F.size(F.filter(F.array(*[F.lit(b) for b in BANDS]), lambda b: b <= length))
 
 
-def rejection_levels(tested: DataFrame, how: Battery) -> DataFrame:
-    """(band, level): runs of a band with p up to level are not random.
+def step_of(p: Column) -> Column:
+    """Step k holds p in (10^((k-1)/20 - 20), 10^(k/20 - 20)]."""
+    return F.least(F.greatest(F.ceil((F.log10(F.greatest(p, F.lit(1e-20))) + 20) * 20), F.lit(0)), F.lit(_BINS)).cast("int")
 
-    Benjamini and Hochberg's level over all runs of the band, with p-values rounded
-    up to one of 400 steps of its logarithm: counts of a band and step are summed
-    where the rows lie, and the ranks run over these sums alone.
+
+def report_levels(tested: DataFrame, decoys: DataFrame, how: Battery) -> DataFrame:
+    """(band, level): runs of a band whose step of p is level or more are discoveries.
+
+    Both tables have band and step. Under the hypothesis of ordinary text, a run's
+    p-value is (1 + decoys of its step or more) / (1 + decoys), and Benjamini and
+    Hochberg's procedure takes all runs of the band. Counts of a band and step are
+    summed where the rows lie, and the ranks run over these sums alone.
     """
-    # Step k holds p in (10^((k-1)/20 - 20), 10^(k/20 - 20)].
-    step = F.least(F.greatest(F.ceil((F.log10(F.greatest("p", F.lit(1e-20))) + 20) * 20), F.lit(0)), F.lit(_BINS)).cast("int")
-    counts = tested.filter("p IS NOT NULL").select("band", step.alias("step")).groupBy("band", "step").agg(F.count(F.lit(1)).alias("n"))
+    counts = tested.select("band", "step", F.lit(1).alias("run")).unionAll(decoys.select("band", "step", F.lit(0).alias("run")))
+    counts = counts.filter("step IS NOT NULL").groupBy("band", "step").agg(F.sum("run").alias("runs"), F.sum(1 - F.col("run")).alias("decoys"))
     by_band = Window.partitionBy("band")
-    ranked = counts.withColumns({"below": F.sum("n").over(by_band.orderBy("step")), "all": F.sum("n").over(by_band), "edge": F.pow(F.lit(10.0), F.col("step") / 20 - 20)})
-    passed = F.max(F.when(F.col("edge") <= how.false_discovery * F.col("below") / F.col("all"), F.col("edge")))
-    return ranked.groupBy("band").agg(F.coalesce(passed, F.lit(0.0)).alias("level"))
+    above = by_band.orderBy(F.desc("step"))
+    ranked = counts.select(
+        "band", "step", F.sum("runs").over(above).alias("n"), F.sum("decoys").over(above).alias("d"), F.sum("runs").over(by_band).alias("all"), F.sum("decoys").over(by_band).alias("all_d")
+    )
+    passed = (1 + F.col("d")) / (1 + F.col("all_d")) * F.col("all") <= how.false_discovery * F.col("n")
+    return ranked.filter(passed).groupBy("band").agg(F.min("step").alias("level"))
+
+
+def decoys_of(text: Column) -> Column:
+    """Pieces of ordinary text as long as runs, an array of strings; their length is picked by the text's hash.
+
+    Long runs are taken out first, so that no secret is a decoy.
+    """
+    squeezed = F.regexp_replace(F.regexp_replace(text, "[A-Za-z0-9+/_-]{20,}", " "), "[^A-Za-z0-9+/_-]+", "")
+    pick = F.pmod(F.xxhash64(text), F.lit(len(DECOYS)))
+    pieces = F.coalesce(*[F.when(pick == i, F.regexp_extract_all(squeezed, F.lit(rf"[\s\S]{{{n}}}"), F.lit(0))) for i, n in enumerate(DECOYS)])
+    kept = F.filter(pieces, lambda x: F.regexp_like(x, F.lit("[0-9]")) & F.regexp_like(x, F.lit("[A-Za-z]")))
+    return F.when(F.regexp_like(text, F.lit("[0-9]")), kept)
 
 
 def secret_spans(docs: DataFrame, text: Column) -> DataFrame:
-    """Add the arrays assign, access, hex and random of (start, end, value, ...) to docs, without the fixed patterns' failures."""
+    """Add the arrays assign, access, hex and random of (start, end, value, ...) to docs, without the fixed patterns' failures, and decoys."""
     found = find_spans(docs, text, PATTERNS)
     return found.withColumns({
+        "decoys": decoys_of(text),
         "assign": F.filter("assign", lambda s: F.length(F.regexp_extract(s["value"], ASSIGN, 1)) >= 6),
         "access": F.filter("access", lambda s: F.length(s["value"]) >= 20),
     })
@@ -150,23 +176,31 @@ def find_secrets(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     """
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text"))
     found = materialize(secret_spans(picked, F.col("__text")).drop("__text").withColumn("key", F.monotonically_increasing_id()), label)
-    return add_random(found, how, label).select("doc_id", "base", "spans")
+    return add_random(found, random_runs(found, how, label)).select("doc_id", "base", "spans")
+
 
+def tested_runs(runs: DataFrame) -> DataFrame:
+    """Add encoding, bits, p, band and step to rows with a string column ``value``."""
+    return test_runs(runs, "value").withColumns({"band": band_of(F.length("value")), "step": step_of(F.col("p"))})
 
-def add_random(found: DataFrame, how: Battery, label: str) -> DataFrame:
-    """Add base and spans to rows of ``secret_spans`` with a unique ``key``."""
+
+def random_runs(found: DataFrame, how: Battery, label: str) -> DataFrame:
+    """(key, kept): the runs that the battery reports of rows of ``secret_spans`` with a unique ``key``, where there are any."""
     runs = found.filter(F.size("random") > 0).select("key", F.explode("random").alias("run"))
-    tested = test_runs(runs.select("key", "run", F.col("run.value").alias("value")), "value").withColumn("band", band_of(F.length("value")))
-    tested = materialize(tested, f"{label}-tested")
-    levels = rejection_levels(tested, how)
-    kept = (
-        tested.filter(F.col("bits") >= how.min_bits)
-        .join(F.broadcast(levels), "band")  # a row for each of the bands
-        .filter((F.col("p") > F.col("level")) & (F.col("p") >= how.min_p))
-        .groupBy("key")
-        .agg(F.collect_list("run").alias("kept"))  # of one document
-    )
-    joined = found.join(kept, "key", "left").withColumn("random", F.coalesce("kept", F.expr("slice(random, 1, 0)"))).drop("kept")
+    tested = materialize(tested_runs(runs.select("key", "run", F.col("run.value").alias("value"))), f"{label}-tested")
+    decoys = tested_runs(found.filter(F.size("decoys") > 0).select(F.explode("decoys").alias("value")))
+    levels = materialize(report_levels(tested, decoys, how), f"{label}-levels")
+    reported = tested.filter((F.col("bits") >= how.min_bits) & (F.col("p") >= how.min_p)).join(F.broadcast(levels), "band")  # a row for each of the bands
+    kept = reported.filter(F.col("step") >= F.col("level")).groupBy("key").agg(F.collect_list("run").alias("kept"))  # of one document
+    kept = materialize(kept, f"{label}-kept")
+    discard(tested)
+    discard(levels)
+    return kept
+
+
+def add_random(found: DataFrame, kept: DataFrame) -> DataFrame:
+    """Add base and spans to rows of ``secret_spans``."""
+    joined = found.drop("decoys").join(kept, "key", "left").withColumn("random", F.coalesce("kept", F.expr("slice(random, 1, 0)"))).drop("kept")
     fixed = F.sort_array(F.concat(*[_ordered(k, F.col(k)) for k in KINDS[:3]]))
     # A run that a fixed pattern's span holds is known already.
     new = F.filter("random", lambda r: ~F.exists("base", lambda b: (b["start"] <= r["start"]) & (r["end"] <= b["end"])))
@@ -203,7 +237,8 @@ def remove_secrets(docs: DataFrame, text_col: str = "text", length_col: str | No
     """
     found = secret_spans(docs.select(F.struct("*").alias("__row")), F.col(f"__row.{text_col}"))
     found = materialize(found.withColumn("key", F.monotonically_increasing_id()), label, compression="zstd")
-    tested = add_random(found.filter(F.size("random") > 0), how, label).select("__row", "spans")
+    kept = random_runs(found, how, label)
+    tested = add_random(found.filter(F.size("random") > 0), kept).select("__row", "spans")
     fixed = F.sort_array(F.concat(*[_ordered(k, F.col(k)) for k in KINDS[:3]]))
     rest = found.filter(F.size("random") == 0).select("__row", fixed.alias("spans"))
     both = tested.unionAll(rest)

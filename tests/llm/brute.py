@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import struct
 import zlib
@@ -194,6 +195,55 @@ def op5(text):
     return [(k, a, b) for a, _, b, k in sorted(found)]
 
 
+def battery(value, encodings):
+    """(bits, p) of a run; encodings: (name, pattern, alphabet), the first that fits."""
+    alphabet = next((a for _, rule, a in encodings if re.fullmatch(rule[1:-1], value)), None)
+    if alphabet is None:
+        return None
+    x, n, a = [alphabet.index(c) for c in value], len(value), len(alphabet)
+    tail = lambda z: max(min(math.erfc(abs(z) / math.sqrt(2)), 1), 1e-300)
+    chi = sum((sum(y == c for y in x) - n / a) ** 2 / (n / a) for c in range(a))
+    z = ((chi / (a - 1)) ** (1 / 3) - (1 - 2 / (9 * (a - 1)))) / math.sqrt(2 / (9 * (a - 1)))
+    p_chi = tail(z) / 2 if z > 0 else 1 - tail(z) / 2
+    high = [2 * c >= a for c in x]
+    n1, n0 = sum(high), n - sum(high)
+    runs = 1 + sum(b != c for b, c in zip(high, high[1:], strict=False))
+    expected = 2 * n1 * n0 / n + 1
+    variance = (expected - 1) * (expected - 2) / (n - 1)
+    p_runs = tail((runs - expected) / math.sqrt(max(variance, 1e-9))) if n1 and n0 and variance > 0 else 1e-12
+    mean = sum(x) / n
+    spread = sum((c - mean) ** 2 for c in x)
+    together = sum((b - mean) * (c - mean) for b, c in zip(x, x[1:], strict=False))
+    p_serial = tail((together / max(spread, 1e-9) + 1 / n) * math.sqrt(n)) if spread > 0 else 1e-12
+    half = -(math.log(p_chi) + math.log(p_runs) + math.log(p_serial))
+    return n * math.log2(a), math.exp(-half) * (1 + half + half * half / 2)
+
+
+def random_runs(texts, picks, secrets):
+    """[(text's number, start, end)] of the runs reported; picks: the number of each text's length of decoys."""
+    how, runs, decoys = secrets.Battery(), [], []
+    bands = lambda n: sum(b <= n for b in secrets.BANDS)
+    step = lambda p: min(max(math.ceil((math.log10(max(p, 1e-20)) + 20) * 20), 0), 400)
+    mixed = lambda v: re.search("[0-9]", v) and re.search("[A-Za-z]", v)
+    for i, (text, pick) in enumerate(zip(texts, picks, strict=True)):
+        for m in re.finditer("[A-Za-z0-9+/_-]{20,}", text):
+            if mixed(m[0]) and (found := battery(m[0], secrets.ENCODINGS)):
+                runs.append((i, m.start(), m.end(), bands(len(m[0])), *found))
+        squeezed = re.sub("[^A-Za-z0-9+/_-]+", "", re.sub("[A-Za-z0-9+/_-]{20,}", " ", text))
+        size = secrets.DECOYS[pick]
+        for k in range(0, len(squeezed) - size + 1, size):
+            if mixed(squeezed[k : k + size]) and (found := battery(squeezed[k : k + size], secrets.ENCODINGS)):
+                decoys.append((bands(size), step(found[1])))
+    out = []
+    for band in range(1, 5):
+        own, others = [r for r in runs if r[3] == band], [s for b, s in decoys if b == band]
+        p = {r: (1 + sum(s >= step(r[5]) for s in others)) / (1 + len(others)) for r in own}
+        ranked = sorted(p.values())
+        level = max((x for k, x in enumerate(ranked, 1) if x * len(own) <= how.false_discovery * k), default=-1)
+        out += [r[:3] for r in own if p[r] <= level and r[4] >= how.min_bits and r[5] >= how.min_p]
+    return out
+
+
 def spelled(spans):
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 

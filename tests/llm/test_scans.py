@@ -94,18 +94,44 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert all(got[i] == "" for i in range(100, 160))
 
 
-def test_random_runs_are_found(spark):
-    rng = random.Random(2)
+def scattered(rng):
+    """Texts of prose with numbers; some hold random runs, some counters and slugs of the same length, one in each."""
     alphabet = string.ascii_letters + string.digits
-    secret = {i: "".join(rng.choices(alphabet, k=40)) for i in range(50)}
-    secret = {i: s for i, s in secret.items() if any(c.isdigit() for c in s)}
-    rows = [(i, f"the value {s} is here") for i, s in secret.items()]
-    rows += [(100 + i, f"see section_00000000000{i:09d} of it") for i in range(200)]
-    rows += [(400, "zzzzzzzzzzzzzzzzzzzzzzzzzzzzzzz1"), (401, "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")]
-    found = {r["doc_id"]: digests(r["spans"]) for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    hits = [i for i in secret if found[i] == "random:10:50"]
-    assert len(hits) >= 0.85 * len(secret)
-    assert not any(found[i] for i in found if i >= 100)
+    words = "the report of many small things that were said about it in those days and years from here to there".split()
+    prose = lambda: " ".join(rng.choice(words) + (str(rng.randrange(10_000)) if rng.random() < 0.2 else "") for _ in range(120))
+    runs = ["".join(rng.choices(alphabet, k=rng.choice((24, 32, 40, 70)))) for _ in range(60)]
+    plain = [f"section_{i:021d}" for i in range(60)] + [f"{rng.choice(words)}-{rng.choice(words)}-{rng.choice(words)}-{rng.choice(words)}-{i}-of-{rng.choice(words)}" for i in range(60)]
+    return [(run, f"{prose()} see {run} {prose()}") for run in runs + plain + ["zzzzzzzzzzzzzzzzzzzzzzzzzzzzzzz1", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"]]
+
+
+def test_random_runs_equal_brute_force(spark):
+    made = scattered(random.Random(2))
+    texts = [t for _, t in made] + ["", "no digits here"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    picks = [r[0] for r in docs.selectExpr("pmod(xxhash64(text), 4)", "doc_id").orderBy("doc_id").collect()]
+    found = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"] if s["kind"] == "random"] for r in secrets.find_secrets(docs).collect()}
+    got = {(i, a, b) for i, spans in found.items() for a, b in spans}
+    assert got == set(brute.random_runs(texts, picks, secrets))
+    hits = sum(any(texts[i][a:b] == made[i][0] for a, b in found[i]) for i in range(60))
+    others = sum(bool(found[i]) for i in range(60, len(texts)))
+    assert hits >= 0.8 * 60 and others <= 0.05 * (hits + others) + 1
+
+
+def test_p_values_equal_brute_force(spark):
+    rng = random.Random(6)
+    values = ["".join(rng.choices(a, k=rng.randrange(20, 90))) for _, _, a in secrets.ENCODINGS for _ in range(40)] + ["a1" * 15, "1" * 29 + "a", "0123456789abcdef" * 3, "aB1+" * 10, "x_1-" * 6, "a+b-c1" * 5]
+    rows = secrets.test_runs(spark.createDataFrame([(v,) for v in values], "value string"), "value").select("value", "bits", "p").collect()
+    for value, bits, p in rows:
+        want = brute.battery(value, secrets.ENCODINGS)
+        assert (want is None) == (p is None)
+        if want:
+            assert bits == pytest.approx(want[0]) and p == pytest.approx(want[1], rel=0.01, abs=1e-5)
+
+
+def test_no_report_without_decoys(spark):
+    run = "".join(random.Random(3).choices(string.ascii_letters + string.digits, k=40))
+    rows = [(1, f"the value {run} is here"), (1, f"the value {run} is here"), (2, None), (None, run)]
+    assert all(r["spans"] == [] for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect())
 
 
 def test_p_values_are_uniform_for_random_runs(spark):
