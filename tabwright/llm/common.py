@@ -31,6 +31,19 @@ def with_hit(rows: DataFrame, key: str, marks: DataFrame, name: str) -> DataFram
     return joined.withColumn(name, hit).drop("__hit_at", "__hit_word", "__hit_bits")
 
 
+def keyed(docs: DataFrame, label: str) -> DataFrame:
+    """(__row, __key): each row whole, with a key that it has alone and that every scan gives it again.
+
+    A row of Parquet files has its place in its file as key. Rows of any other plan
+    are written first, as a plan may give other rows when it runs again.
+    """
+    if docs._jdf.queryExecution().analyzed().nodeName() != "LogicalRelation" or not docs.inputFiles()[:1]:
+        docs = materialize(docs, label, compression="zstd")
+    place = docs.metadataColumn("_metadata")
+    key = F.struct(F.xxhash64(place["file_path"]).alias("file"), place["row_index"].alias("row"))
+    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("__row"), key.alias("__key"))
+
+
 def without_keys(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Rows whose key isn't among keys; rows that a filter clears aren't shuffled."""
     marked = with_hit(rows, key, materialize(bit_filter(keys, key), "filter"), "__hit")
@@ -38,4 +51,4 @@ def without_keys(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return clear.unionAll(marked.filter("__hit").drop("__hit").join(keys.select(key), key, "left_anti").select(*rows.columns))
 
 
-__all__ = ["bit_filter", "discard", "global_order", "materialize", "partition_offsets", "recording", "scratch_root", "with_hit", "without_keys"]
+__all__ = ["bit_filter", "discard", "global_order", "keyed", "materialize", "partition_offsets", "recording", "scratch_root", "with_hit", "without_keys"]

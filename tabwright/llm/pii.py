@@ -2,9 +2,10 @@
 
 Fixed patterns with checks find e-mail addresses, IPv4 addresses, payment cards
 and phone numbers; these are the seeds. Every seed, every other token that holds a
-digit or an @ and every row of digit groups with spaces between is an instance,
-and the one or two words before it are lexical patterns. Patterns
-and instances make a weighted graph over the whole corpus. Round by round each
+digit or an @ and every row of digit groups with spaces between is an instance.
+Its lexical patterns are the one or two words before it, the label with its marks
+right before it (``card:``), the word after it, and the words on both sides.
+Patterns and instances make a weighted graph over the whole corpus. Round by round each
 pattern is scored, for each kind, by the instances that it introduces, and each
 instance by the patterns that introduce it. Instances of the shape of a kind, in
 contexts that nearly always introduce that kind, are reported as well: numbers
@@ -89,8 +90,8 @@ def occurrences(found: DataFrame) -> DataFrame:
     """A row for each token and each row of digit groups of each document: (key, start, end, instance, kind, patterns).
 
     kind is that of the base span that starts there, if any, which is then the
-    instance as a whole; patterns are the word before and the two words before, in
-    lower case. Groups count if they hold as many digits as a phone or a card and no
+    instance as a whole; patterns are in lower case, those to the left marked < and
+    those to the right >. Groups count if they hold as many digits as a phone or a card and no
     dotted address; tokens that start in them don't.
     """
     base = F.concat(*[F.col(k) for k in KINDS])
@@ -99,10 +100,16 @@ def occurrences(found: DataFrame) -> DataFrame:
     single = F.filter("token", lambda t: ~F.exists("groups", lambda g: (g["start"] <= t["end"] - 1) & (t["start"] < g["end"])))
     both = F.concat(F.transform(single, lambda t: F.struct(t.alias("t"), F.lit(False).alias("group"))), F.transform("groups", lambda g: F.struct(g.alias("t"), F.lit(True).alias("group"))))
     tokens = rows.select("key", "base", F.explode(both).alias("e")).select("key", "base", "e.t", "e.group")
-    words = F.split(F.trim(F.lower(F.regexp_replace("t.before", r"[\s\p{Punct}]+", " "))), " ")
+    plain = lambda c: F.split(F.trim(F.lower(F.regexp_replace(c, r"[\s\p{Punct}]+", " "))), " ")
+    words, after = plain(F.col("t.before")), plain(F.coalesce("t.after", F.lit("")))
     known = F.get(F.filter("base", lambda b: (b["start"] >= F.col("t.start")) & (b["start"] < F.col("t.end"))), F.lit(0))
-    last, two = F.element_at(words, -1), F.when(F.size(words) > 1, F.concat_ws(" ", F.try_element_at(words, F.lit(-2)), F.element_at(words, -1)))
-    patterns = F.filter(F.array(last, two), lambda p: p.isNotNull() & (p != ""))
+    some = lambda c: F.when(c != "", c)
+    last, two = some(F.element_at(words, -1)), F.when(F.size(words) > 1, F.concat_ws(" ", F.try_element_at(words, F.lit(-2)), F.element_at(words, -1)))
+    label = F.lower(F.regexp_extract("t.before", r"(\S*\p{Punct})\s*$", 1))
+    # What follows a token needn't follow the base span that starts in it.
+    following = F.when(F.coalesce(F.get(F.filter("base", lambda b: (b["start"] >= F.col("t.start")) & (b["start"] < F.col("t.end"))), F.lit(0))["end"], F.col("t.end")) <= F.col("t.end"), some(F.get(after, F.lit(0))))
+    given = F.array(F.concat(F.lit("<"), last), F.concat(F.lit("<"), two), F.concat(F.lit("<"), some(label)), F.concat(F.lit(">"), following), F.concat(F.lit("<"), last, F.lit(" >"), following))
+    patterns = F.array_distinct(F.filter(given, lambda p: p.isNotNull()))
     # A group keeps its opening bracket.
     lead = F.when(F.col("group"), F.lit(0)).otherwise(F.length(F.regexp_extract("t.value", r"^[^\p{L}0-9+@]+", 0)))
     own = F.when(F.col("group"), F.regexp_replace("t.value", "[^0-9]+$", "")).otherwise(_trimmed(F.col("t.value")))
@@ -134,7 +141,10 @@ def confident_patterns(found: DataFrame, how: Bootstrap, label: str = "pii") ->
         known = materialize(known, f"{label}-known-{number}")
         support = edges.select("pattern", "instance").join(known, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("s"), F.count(F.lit(1)).alias("seen"))
         scored = support.filter(F.col("seen") >= how.min_instances).join(totals, "pattern").withColumn("confidence", F.col("s") / (F.col("n") + 1))
-        trusted = materialize(scored.filter(F.col("confidence") >= how.min_confidence).select("pattern", "kind", "confidence"), f"{label}-trusted-{number}")
+        before, trusted = trusted, materialize(scored.filter(F.col("confidence") >= how.min_confidence).select("pattern", "kind", "confidence"), f"{label}-trusted-{number}")
+        discard(known)
+        if before is not None:
+            discard(before)
         # An instance is as likely of a kind as not all of its trusted patterns err.
         heard = edges.filter("kind IS NULL").select("pattern", "instance").join(trusted, "pattern")
         shaped = heard.filter(shape_fits(F.col("instance"), F.col("kind")))

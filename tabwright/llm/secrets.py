@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tabwright.llm.common import discard, materialize
+from tabwright.llm.common import bit_filter, discard, keyed, materialize, with_hit
 from tabwright.llm.spans import Pattern, find_spans
 
 KINDS = ("assign", "access", "hex", "random")
@@ -231,25 +231,32 @@ def remove_secrets(docs: DataFrame, text_col: str = "text", length_col: str | No
     """docs with every secret of their texts replaced by a mark, all other text and all columns kept.
 
     length_col, where docs have it, gets the length of a changed text. A null text
-    stays null. Only rows that hold a run to test are joined with the tests'
-    verdicts; the others' texts aren't shuffled. Other cases are as in
-    ``find_secrets``.
+    stays null. Texts aren't copied: rows are known by their places, what is found
+    in them is written, and only rows that may hold a secret are joined with it.
+    Other cases are as in ``find_secrets``.
     """
-    found = secret_spans(docs.select(F.struct("*").alias("__row")), F.col(f"__row.{text_col}"))
-    found = materialize(found.withColumn("key", F.monotonically_increasing_id()), label, compression="zstd")
+    whole = keyed(docs, f"{label}-docs")
+    found = secret_spans(whole.select(F.col("__key").alias("key"), F.col(f"__row.`{text_col}`").alias("__text")), F.col("__text")).drop("__text")
+    found = materialize(found, label, compression="zstd")
     kept = random_runs(found, how, label)
-    tested = add_random(found.filter(F.size("random") > 0), kept).select("__row", "spans")
-    fixed = F.sort_array(F.concat(*[_ordered(k, F.col(k)) for k in KINDS[:3]]))
-    rest = found.filter(F.size("random") == 0).select("__row", fixed.alias("spans"))
-    both = tested.unionAll(rest)
-    changed = F.size("spans") > 0
-    both = both.withColumn("__text", F.when(changed, redact(F.col(f"__row.{text_col}"), F.col("spans"))).otherwise(F.col(f"__row.{text_col}")))
+    some = F.size("assign") > 0
+    for kind in KINDS[1:]:
+        some = some | (F.size(kind) > 0)
+    spans = add_random(found.filter(some), kept).filter(F.size("spans") > 0)
+    spans = materialize(spans.select(F.col("key").alias("__key"), F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("__spans")), f"{label}-spans")
+    discard(found)
+    discard(kept)
+    marked = with_hit(whole, "__key", materialize(bit_filter(spans, "__key"), f"{label}-filter"), "__hit")
+    clear = marked.filter(~F.col("__hit")).select("__row.*")
+    text = F.col(f"__row.`{text_col}`")
+    joined = marked.filter("__hit").join(spans, "__key", "left").withColumn("__text", F.when(F.col("__spans").isNotNull(), redact(text, F.col("__spans"))).otherwise(text))
 
     def column(name: str) -> Column:
+        own = F.col(f"__row.`{name}`")
         if name == text_col:
             return F.col("__text").alias(name)
         if name == length_col:
-            return F.when(changed, F.length("__text").cast(docs.schema[name].dataType)).otherwise(F.col(f"__row.`{name}`")).alias(name)
-        return F.col(f"__row.`{name}`").alias(name)
+            return F.when(F.col("__spans").isNotNull(), F.length("__text").cast(docs.schema[name].dataType)).otherwise(own).alias(name)
+        return own.alias(name)
 
-    return both.select(*[column(name) for name in docs.columns])
+    return clear.unionAll(joined.select(*[column(name) for name in docs.columns]))

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.llm.common import bit_filter, discard, materialize, with_hit, without_keys
+from tabwright.llm.common import bit_filter, discard, keyed, materialize, with_hit, without_keys
 from tabwright.llm.components import connected_components
 from tabwright.llm.jaccard import link_sets, set_sizes
 
@@ -223,16 +223,22 @@ def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sh
     their sets of shingles, which is exact (``jaccard.link_sets``), and classes are
     what such links join. Texts without words are all alike. Of rows of one id in a
     class, one stays. All columns of docs are returned, and no others; they are
-    carried in one struct, so their names don't matter.
+    carried in one struct, so their names don't matter. Texts aren't copied: rows are
+    known by their places, and those that stay are read from docs again.
     """
-    carried = docs.select(F.struct("*").alias("__row"), set_sizes(F.col(text_col), shingle).alias("__s"))
-    rows = materialize(carried.withColumn("__at", F.monotonically_increasing_id()), f"{label}-rows", compression="zstd")
-    prints = rows.select("__at", F.col(f"__row.{id_col}").alias("id"), "__s.node")
-    linked = link_sets(rows, F.col(f"__row.{text_col}"), shingle, similarity, label)
+    whole = keyed(docs, f"{label}-docs")
+    text = F.col(f"__row.`{text_col}`")
+    at = F.xxhash64("__key").alias("__at")
+    prints = whole.select("__key", at, F.col(f"__row.`{id_col}`").alias("id"), set_sizes(text, shingle).alias("__s"))
+    prints = materialize(prints.select("__key", "__at", "id", "__s.*"), f"{label}-prints", compression="zstd")
+    linked = link_sets(prints, whole.select(at, text.alias("__text")), shingle, similarity, label)
     copied = prints.groupBy("node").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1").select("node")
     classes = linked.select("node", F.col("root").alias("class")).union(copied.join(linked, "node", "left_anti").select("node", F.col("node").alias("class")))
-    members = materialize(prints.join(classes, "node").select("__at", "id", "class"), f"{label}-members")
-    first = members.groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__at")).alias("first")).select("first.__at")
-    # Rows to drop, by a key that each has alone.
-    others = materialize(members.select("__at").join(first, "__at", "left_anti"), f"{label}-others")
-    return without_keys(rows, others, "__at").select("__row.*")
+    # A hot class is read from a table, so that its rows are split.
+    classes = materialize(classes, f"{label}-classes")
+    members = materialize(prints.join(classes, "node").select("__key", "id", "class"), f"{label}-members")
+    first = members.groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__key")).alias("first")).select("first.__key")
+    others = materialize(members.select("__key").join(first, "__key", "left_anti"), f"{label}-others")
+    for table in (prints, linked, classes, members):
+        discard(table)
+    return without_keys(whole, others, "__key").select("__row.*")

@@ -24,7 +24,7 @@ class Pattern:
 
     needs: text without a match of this is passed over; cheaper than the pattern.
     context: keep so many code points of what is before each match, back to the
-    match before.
+    match before, and of what is after it, up to the next match.
     """
 
     regex: str
@@ -41,11 +41,11 @@ def _block(array: Column, b: Column) -> Column:
 
 
 def find_spans(rows: DataFrame, text: Column, patterns: dict[str, Pattern]) -> DataFrame:
-    """Add a column for each pattern: array of (start, end, value, before), in order.
+    """Add a column for each pattern: array of (start, end, value, before, after), in order.
 
     start and end are code points of the whole text, end exclusive; value is the
-    match and before the text in front of it (see ``Pattern.context``). Null and
-    empty texts have empty arrays. Names must be new to rows.
+    match, before and after are the text beside it (see ``Pattern.context``). Null
+    and empty texts have empty arrays. Names must be new to rows.
     """
     whole = F.coalesce(text, F.lit(""))
     names = list(patterns)
@@ -58,12 +58,13 @@ def find_spans(rows: DataFrame, text: Column, patterns: dict[str, Pattern]) -> D
 
     def between(p: Pattern) -> Column:
         def gap(x: Column) -> Column:
-            tail = F.substring(x, -p.context, p.context) if p.context else F.lit(None).cast("string")
-            return F.struct(F.length(x).alias("n"), tail.alias("tail"))
+            none = F.lit(None).cast("string")
+            head, tail = (F.substring(x, 1, p.context), F.substring(x, -p.context, p.context)) if p.context else (none, none)
+            return F.struct(F.length(x).alias("n"), head.alias("head"), tail.alias("tail"))
 
         return F.transform(F.split(whole, p.regex), gap)
 
-    stage = rows.withColumns({of(n, "gaps"): when_needed(p, between(p), "array<struct<n:int,tail:string>>") for n, p in patterns.items()})
+    stage = rows.withColumns({of(n, "gaps"): when_needed(p, between(p), "array<struct<n:int,head:string,tail:string>>") for n, p in patterns.items()})
     stage = stage.withColumns({
         of(n, "hits"): F.when(F.size(of(n, "gaps")) > 1, F.regexp_extract_all(whole, F.lit(p.regex), F.lit(0))).otherwise(F.array().cast("array<string>"))
         for n, p in patterns.items()
@@ -95,7 +96,7 @@ def find_spans(rows: DataFrame, text: Column, patterns: dict[str, Pattern]) -> D
 
         def span(m: Column, i: Column) -> Column:
             start = F.get(before, i) + F.get(gaps, i)["n"]
-            return F.struct(start.alias("start"), (start + F.length(m)).alias("end"), m.alias("value"), F.get(gaps, i)["tail"].alias("before"))
+            return F.struct(start.alias("start"), (start + F.length(m)).alias("end"), m.alias("value"), F.get(gaps, i)["tail"].alias("before"), F.get(gaps, i + 1)["head"].alias("after"))
 
         return F.transform(F.col(of(n, "hits")), span)
 

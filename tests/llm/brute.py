@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import regex
 import xxhash
 
 
@@ -195,6 +196,79 @@ def op5(text):
     return [(k, a, b) for a, _, b, k in sorted(found)]
 
 
+_SPACE = r"[ \t\n\x0b\f\r]"
+_PUNCT = r"[!-/:-@\[-`{-~]"
+
+
+def pii_occurrences(text, patterns):
+    """[(start, end, instance, kind, patterns)] of a text's tokens and digit groups; patterns: the operator's two of these."""
+    spans = sorted(((list(PII).index(k), a, b, k) for k, a, b in op2(text)))
+
+    def found(name):
+        hits = list(regex.finditer(patterns[name].regex, text, regex.ASCII if name == "token" else 0))
+        edges = [0, *[e for m in hits for e in m.span()], len(text)]
+        return [(m.start(), m.end(), text[edges[2 * i] : m.start()][-80:], text[m.end() : edges[2 * i + 3]][:80]) for i, m in enumerate(hits)]
+
+    digits = lambda v: len(re.sub("[^0-9]", "", v))
+    groups = [g for g in found("group") if 7 <= digits(text[g[0] : g[1]]) <= 19 and not re.search(r"[0-9](\.[0-9]+){3}", text[g[0] : g[1]])]
+    tokens = found("token")
+    if not tokens:
+        return []
+    out = []
+    for a, b, before, after, group in [(*t, False) for t in tokens if not any(g[0] <= t[1] - 1 and t[0] < g[1] for g in groups)] + [(*g, True) for g in groups]:
+        value = text[a:b]
+        known = next(((x, y, k) for _, x, y, k in spans if a <= x < b), None)
+        plain = lambda x: re.sub(f"(?:{_SPACE}|{_PUNCT})+", " ", x).lower().strip(" ").split(" ")
+        words, right = plain(before), plain(after)[0]
+        given = [f"<{words[-1]}"] * (words[-1] != "") + [f"<{x} {y}" for x, y in zip(words[-2:], words[-1:] * (len(words) > 1), strict=False)]
+        label = re.search(rf"([^ \t\n\x0b\f\r]*{_PUNCT}){_SPACE}*$", before)
+        given += [f"<{label[1].lower()}"] if label else []
+        if right and (known is None or known[1] <= b):
+            given += [f">{right}"] + [f"<{words[-1]} >{right}"] * (words[-1] != "")
+        lead = 0 if group else len(regex.match(r"[^\p{L}0-9+@]*", value)[0])
+        own = re.sub("[^0-9]+$", "", value) if group else regex.sub(r"^[^\p{L}0-9+@]+|[^\p{L}0-9]+$", "", value)
+        start, end, instance, kind = (known[0], known[1], text[known[0] : known[1]], known[2]) if known else (a + lead, a + lead + len(own), own, None)
+        if instance:
+            out.append((start, end, instance, kind, set(given)))
+    return out
+
+
+def pii_spans(texts, patterns, shapes, how):
+    """[spans] of each text, by three rounds over dictionaries of patterns and instances."""
+    seen = [pii_occurrences(t or "", patterns) for t in texts]
+    edges = {}
+    for _, _, instance, kind, given in (o for rows in seen for o in rows):
+        for p in given:
+            kinds = [k for k in (kind, edges.get((p, instance))) if k]
+            edges[p, instance] = min(kinds, default=None)
+    total = Counter(p for p, _ in edges)
+    base = {(i, k): 1.0 for (_, i), k in edges.items() if k}
+    known = dict(base)
+    for _ in range(how.rounds):
+        support = {}
+        for p, i in edges:
+            for (j, k), score in known.items():
+                if i == j:
+                    support.setdefault((p, k), []).append(score)
+        trusted = {pk: sum(x) / (total[pk[0]] + 1) for pk, x in support.items() if len(x) >= how.min_instances and sum(x) / (total[pk[0]] + 1) >= how.min_confidence}
+        heard = {}
+        for (p, i), kind in edges.items():
+            for (q, k), confidence in trusted.items():
+                if p == q and kind is None and regex.search(shapes[k], i):
+                    heard.setdefault((i, k), []).append(min(confidence, 0.999))
+        # An instance that is known by a fixed pattern in one place and heard in another has both scores.
+        known = {**{ik: 1 - math.prod(1 - c for c in x) for ik, x in heard.items()}, **base}
+    out = []
+    for text, rows in zip(texts, seen, strict=True):
+        fixed, added = op2(text or ""), set()
+        for start, end, instance, kind, given in rows:
+            if kind is None:
+                added |= {(k, start, end) for p, k in trusted if p in given and regex.search(shapes[k], instance)}
+        added = {x for x in added if not any(k == x[0] and a < x[2] and x[1] < b for k, a, b in fixed)}
+        out.append(sorted([*fixed, *added], key=lambda x: (list(PII).index(x[0]), x[1:])))
+    return out
+
+
 def battery(value, encodings):
     """(bits, p) of a run; encodings: (name, pattern, alphabet), the first that fits."""
     alphabet = next((a for _, rule, a in encodings if re.fullmatch(rule[1:-1], value)), None)

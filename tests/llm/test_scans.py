@@ -77,6 +77,7 @@ def test_spans_of_very_many_matches(spark):
     row = find_spans(spark.createDataFrame([(text,)], "t string"), F.col("t"), {"m": Pattern("[0-9]+", context=3)}).first()
     assert [(s["start"], s["end"]) for s in row["m"]] == [(4 * i + 2, 4 * i + 3) for i in range(1000)] + [(4000, 4007)]
     assert [s["before"] for s in row["m"]][:3] == ["ab", " ab", " ab"]
+    assert [s["after"] for s in row["m"]][-2:] == [" ", ""]
 
 
 def test_contexts_discover_unseen_identifiers(spark):
@@ -94,6 +95,30 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert all(got[i] == "" for i in range(100, 160))
 
 
+def test_discovered_spans_equal_brute_force(spark, small):
+    """Labels before, words after and words on both sides teach; results equal plain Python, and differ without the method."""
+    rng = random.Random(12)
+    digits = lambda n: "".join(rng.choices(string.digits, k=n))
+    word = lambda: "".join(rng.choices(string.ascii_lowercase, k=rng.randrange(3, 8)))
+
+    def card():
+        body = "4" + digits(14)
+        return next(body + c for c in string.digits if brute.luhn(body + c))
+
+    texts = []
+    for _ in range(14):
+        texts += [f"{word()} card: {card()} {word()}", f"{word()} {digits(3)} +1 ({digits(3)}) {digits(3)}-{digits(4)} (mobile) {word()}", f"{word()} from {word()}@{word()}.org via mail"]
+    texts += ["my card: 1234567890123456 is lost", "old 555 123 4567 (mobile) gone", "sent from root@localhost via mail", "the 1234567890123456 of them, card 12", "my card: 1234567890123456 is lost", "", None, "1 @ 2 (3) +4", "card: card: 4111"]
+    texts += [t for _, t in small[:40]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in pii.personal_data(docs).collect()}
+    want = brute.pii_spans(texts, pii.PATTERNS, pii.SHAPES, pii.Bootstrap())
+    assert [got[i] for i in range(len(texts))] == want
+    assert got[42] == [("card", 9, 25)] == got[46] and got[43] == [("phone", 4, 16)] and got[44] == [("email", 10, 24)] and got[45] == []
+    alone = {r["doc_id"]: len(r["spans"]) for r in pii.personal_data(docs, how=pii.Bootstrap(min_confidence=2.0)).collect()}
+    assert sum(map(len, got.values())) > sum(alone.values()) == sum(len(brute.op2(t or "")) for t in texts)
+
+
 def scattered(rng):
     """Texts of prose with numbers; some hold random runs, some counters and slugs of the same length, one in each."""
     alphabet = string.ascii_letters + string.digits
