@@ -9,15 +9,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabwright.functions.names import ORDER, POSITION, PRIVATE, is_private, named
 from tabwright.functions import arithmetic, predicates
 from tabwright.functions.aggregates import REDUCTIONS, AggFunc, reduction
 from tabwright.functions.masks import Mask, count_true
 from tabwright.operators import joins
 from tabwright.operators.grouping import GroupByOptions, Grouping
-from tabwright.operators.position import POSITION, with_contiguous_position, with_scan_position
+from tabwright.operators.position import with_contiguous_position, with_scan_position
 
 CATEGORICAL = "categorical"
-_HIDDEN = "__ord"
 
 
 class Series:
@@ -109,30 +109,40 @@ class Frame:
     last, positions, categories, display) uses the columns given as ``order_by``,
     which should name a row each; a file read by this package has the order in
     which its rows are read. The order's columns stay available when the frame is
-    narrowed; Catalyst drops them from plans that don't use them.
+    narrowed; Catalyst drops them from plans that don't use them. Names may hold any
+    characters, dots too; those that begin with ``__tabwright_`` are refused.
     """
 
     def __init__(self, data: DataFrame, order_by: Sequence[str] = ()):
-        names = [c for c in data.columns if not c.startswith("__")]
+        names = [c for c in data.columns if not is_private(c)]
         for name in names:
             if not name.strip():
                 raise ValueError("a column needs a name")
         if len({n.lower() for n in names}) < len(names):
             raise ValueError("column names must differ by more than case")
         for i, column in enumerate(order_by):
-            data = data.withColumn(f"{_HIDDEN}{i}", F.col(column))
+            data = data.withColumn(f"{ORDER}{i}", named(column))
         self.data = data
 
     # -- construction -------------------------------------------------------------
 
     @classmethod
     def read_parquet(cls, spark: SparkSession, path: str, order_by: Sequence[str] = ()) -> Frame:
-        return cls(spark.read.parquet(path), order_by)
+        return cls.over(spark.read.parquet(path), order_by)
+
+    @classmethod
+    def over(cls, data: DataFrame, order_by: Sequence[str] = ()) -> Frame:
+        """A frame over a plan from elsewhere, all of whose columns are the user's own."""
+        taken = [c for c in data.columns if is_private(c)]
+        if taken:
+            raise ValueError(f"{', '.join(taken)}: names that begin with {PRIVATE} are kept for frames")
+        return cls(data, order_by)
 
     @classmethod
     def from_rows(cls, spark: SparkSession, rows: Iterable[tuple], schema: T.StructType | str) -> Frame:
         """A frame of rows in memory, in their order."""
-        return cls(with_scan_position(spark.createDataFrame(list(rows), schema).coalesce(1)))
+        data = cls.over(spark.createDataFrame(list(rows), schema)).data
+        return cls(with_scan_position(data.coalesce(1)))
 
     @classmethod
     def from_columns(cls, spark: SparkSession, columns: Sequence[tuple[str, T.DataType | str, Sequence]]) -> Frame:
@@ -151,14 +161,14 @@ class Frame:
     def of(self, data: DataFrame, ordered: bool = False) -> Frame:
         """A frame over another plan; without an order unless the plan still has this one's."""
         if not ordered:
-            data = data.drop(*[c for c in data.columns if c.startswith(_HIDDEN) or c == POSITION])
+            data = data.drop(*[c for c in data.columns if c.startswith(ORDER) or c == POSITION])
         return Frame(data)
 
     # -- names and types -----------------------------------------------------------
 
     @property
     def column_names(self) -> list[str]:
-        return [c for c in self.data.columns if not c.startswith("__")]
+        return [c for c in self.data.columns if not is_private(c)]
 
     @property
     def column_count(self) -> int:
@@ -181,19 +191,19 @@ class Frame:
         return self.data.schema[self.resolve(name)].dataType
 
     def visible_schema(self) -> T.StructType:
-        return T.StructType([f for f in self.data.schema.fields if not f.name.startswith("__")])
+        return T.StructType([f for f in self.data.schema.fields if not is_private(f.name)])
 
     def is_categorical(self, name: str) -> bool:
         return bool(self.data.schema[self.resolve(name)].metadata.get(CATEGORICAL))
 
     def to_spark(self) -> DataFrame:
         """The frame's columns as a Spark data frame."""
-        return self.data.select(*[F.col(f"`{c}`") for c in self.column_names])
+        return self.data.select(*[named(c) for c in self.column_names])
 
     # -- order -----------------------------------------------------------------------
 
     def order_names(self) -> list[str]:
-        given = [c for c in self.data.columns if c.startswith(_HIDDEN)]
+        given = [c for c in self.data.columns if c.startswith(ORDER)]
         return given or [c for c in self.data.columns if c == POSITION]
 
     def order_columns(self) -> list[Column]:
@@ -211,7 +221,7 @@ class Frame:
     # -- columns ---------------------------------------------------------------------
 
     def _hidden(self) -> list[Column]:
-        return [F.col(c) for c in self.data.columns if c.startswith("__")]
+        return [F.col(c) for c in self.data.columns if is_private(c)]
 
     def __getitem__(self, key: str | int) -> Series:
         if isinstance(key, int):
@@ -219,7 +229,7 @@ class Frame:
                 raise IndexError(f"column {key} of {self.column_count}")
             key = self.column_names[key]
         name = self.resolve(key)
-        return Series(name, self.type_of(name), F.col(f"`{name}`"))
+        return Series(name, self.type_of(name), named(name))
 
     def column(self, name: str, kind: T.DataType) -> Series:
         """A column that must be of exactly this type and not categorical."""
@@ -236,22 +246,22 @@ class Frame:
         if not names:
             raise ValueError("select needs a column")
         wanted = dict.fromkeys(self.resolve(n) for n in names)
-        return Frame(self.data.select(*[F.col(f"`{n}`") for n in wanted], *self._hidden()))
+        return Frame(self.data.select(*[named(n) for n in wanted], *self._hidden()))
 
     def add_column(self, series: Series) -> Frame:
         """The frame with a column at its end, or in the place and under the spelling of one of that name."""
         if self.contains_column(series.name):
             name = self.resolve(series.name)
-            columns = [series.expr.alias(c) if c == name else F.col(f"`{c}`") for c in self.column_names]
+            columns = [series.expr.alias(c) if c == name else named(c) for c in self.column_names]
             return Frame(self.data.select(*columns, *self._hidden()))
-        return Frame(self.data.select(*[F.col(f"`{c}`") for c in self.column_names], series.expr.alias(series.name), *self._hidden()))
+        return Frame(self.data.select(*[named(c) for c in self.column_names], series.expr.alias(series.name), *self._hidden()))
 
     def try_remove_column(self, name: str) -> tuple[Frame, bool]:
         """The frame without a column, and whether it had it."""
         if not self.contains_column(name):
             return self, False
         own = self.resolve(name)
-        return Frame(self.data.select(*[F.col(f"`{c}`") for c in self.column_names if c != own], *self._hidden())), True
+        return Frame(self.data.select(*[named(c) for c in self.column_names if c != own], *self._hidden())), True
 
     # -- rows ------------------------------------------------------------------------
 
@@ -273,8 +283,8 @@ class Frame:
 
     def with_position(self, name: str = "position") -> Frame:
         """The frame with each row's number from 0 in its order."""
-        numbered = with_contiguous_position(self.data, self.require_order("with_position"), "__number")
-        return Frame(numbered.select(*[F.col(f"`{c}`") for c in self.column_names], F.col("__number").alias(name), *self._hidden()))
+        numbered = with_contiguous_position(self.data, self.require_order("with_position"), f"{PRIVATE}number")
+        return Frame(numbered.select(*[named(c) for c in self.column_names], F.col(f"{PRIVATE}number").alias(name), *self._hidden()))
 
     def true_positions(self, mask: Mask) -> DataFrame:
         """(position) of the rows that a mask selects, in order."""
@@ -286,7 +296,7 @@ class Frame:
 
     def row_at(self, position: int) -> tuple | None:
         """The cells of one row; for looking, not for loops."""
-        found = self.with_position("__at").data.filter(F.col("__at") == position).select(*[F.col(f"`{c}`") for c in self.column_names]).first()
+        found = self.with_position(f"{PRIVATE}at").data.filter(F.col(f"{PRIVATE}at") == position).select(*[named(c) for c in self.column_names]).first()
         return None if found is None else tuple(found)
 
     def cells(self, name: str) -> Iterator[Any]:
@@ -319,12 +329,14 @@ class Frame:
     def group_by(self, *keys: str, options: GroupByOptions | None = None) -> Grouping:
         return Grouping(self, keys, options)
 
-    def merge(self, right: Frame, on: str | Sequence[str] | None = None, how: joins.JoinType | str = joins.JoinType.INNER, left_on: Sequence[str] | None = None, right_on: Sequence[str] | None = None) -> Frame:
-        """Join on columns of one name (on) or of two (left_on, right_on)."""
+    def merge(
+        self, right: Frame, on: str | Sequence[str] | None = None, how: joins.JoinType | str = joins.JoinType.INNER, left_on: Sequence[str] | None = None, right_on: Sequence[str] | None = None, ordered: bool = False
+    ) -> Frame:
+        """Join on columns of one name (on) or of two (left_on, right_on); see ``joins.merge`` for ordered."""
         if on is not None:
             keys = [on] if isinstance(on, str) else list(on)
-            return joins.merge(self, right, keys, keys, how)
-        return joins.merge(self, right, list(left_on or ()), list(right_on or ()), how)
+            return joins.merge(self, right, keys, keys, how, ordered)
+        return joins.merge(self, right, list(left_on or ()), list(right_on or ()), how, ordered)
 
     def display_string(self, max_rows: int = 10, max_width: int = 12) -> str:
         from tabwright.functions.display import display_string

@@ -9,6 +9,8 @@ from typing import TYPE_CHECKING, Any
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabwright.functions.names import named
+
 if TYPE_CHECKING:
     from tabwright.frame import Frame
 
@@ -69,7 +71,7 @@ def display_string(frame: Frame, max_rows: int = 10, max_width: int = 12) -> str
     top = max_rows // 2
     if max_rows <= 0 or count <= max_rows:
         ordered = frame.data.orderBy(*frame.order_names()) if frame.order_names() else frame.data
-        first, last = ordered.select(*[F.col(f"`{n}`") for n in names]).collect(), []
+        first, last = ordered.select(*[named(n) for n in names]).collect(), []
     else:
         first = frame.head(top).to_spark().collect() if top else []
         last = frame.tail(max_rows - top).to_spark().collect()

@@ -9,6 +9,8 @@ from typing import TYPE_CHECKING
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabwright.functions.names import ORDER, named
+
 if TYPE_CHECKING:
     from tabwright.frame import Frame
 
@@ -43,7 +45,7 @@ def _keys(frame: Frame, names: Sequence[str], side: str) -> list[str]:
     return [frame.resolve(n) for n in names]
 
 
-def merge(left: Frame, right: Frame, left_on: Sequence[str], right_on: Sequence[str], how: JoinType | str = JoinType.INNER) -> Frame:
+def merge(left: Frame, right: Frame, left_on: Sequence[str], right_on: Sequence[str], how: JoinType | str = JoinType.INNER, ordered: bool = False) -> Frame:
     """Join two frames on equal keys.
 
     A null in any part of a key matches nothing; rows that share keys are paired
@@ -52,6 +54,11 @@ def merge(left: Frame, right: Frame, left_on: Sequence[str], right_on: Sequence[
     and of the right. Names on both sides get ``_x`` and ``_y``. Keys must be of
     one class of types, and a name that would come twice is an error. Spark picks
     the join: a side is broadcast only where its size is known to be small.
+
+    ordered: the result has an order, which both frames must have: that of the left
+    rows, for each of them that of its right rows, and last the right rows without a
+    partner in their own. It costs carrying both orders through the join; nothing is
+    sorted before head, tail or a writer asks for it.
     """
     how = JoinType(how)
     if len(left_on) != len(right_on):
@@ -68,10 +75,16 @@ def merge(left: Frame, right: Frame, left_on: Sequence[str], right_on: Sequence[
     twice = [n for n in names if sum(n.lower() == m.lower() for m in names) > 1]
     if twice:
         raise ValueError(f"merge would give {', '.join(dict.fromkeys(twice))} more than once; rename columns first")
-    a = left.data.select(*[F.col(f"`{c}`").alias(f"l{i}") for i, c in enumerate([*lk, *l_rest])])
-    b = right.data.select(*[F.col(f"`{c}`").alias(f"r{i}") for i, c in enumerate([*rk, *r_rest])])
+    a = left.data.select(*[named(c).alias(f"l{i}") for i, c in enumerate([*lk, *l_rest])])
+    b = right.data.select(*[named(c).alias(f"r{i}") for i, c in enumerate([*rk, *r_rest])])
+    if ordered:
+        a = left.data.select(*[named(c).alias(f"l{i}") for i, c in enumerate([*lk, *l_rest])], F.struct(*left.require_order("an ordered merge")).alias("lo"))
+        b = right.data.select(*[named(c).alias(f"r{i}") for i, c in enumerate([*rk, *r_rest])], F.struct(*right.require_order("an ordered merge")).alias("ro"))
     joined = a.join(b, [F.col(f"l{i}") == F.col(f"r{i}") for i in range(len(lk))], _SPARK[how])
     # Only right and outer joins can lack the left key.
     keys = [(F.coalesce(F.col(f"l{i}"), F.col(f"r{i}")) if how in (JoinType.RIGHT, JoinType.OUTER) else F.col(f"l{i}")).alias(k) for i, k in enumerate(lk)]
     rest = [F.col(f"l{i + len(lk)}").alias(n) for i, n in enumerate(l_new)] + [F.col(f"r{i + len(rk)}").alias(n) for i, n in enumerate(r_new)]
+    if ordered:
+        order = [F.col("lo").isNull().alias(f"{ORDER}0"), F.col("lo").alias(f"{ORDER}1"), F.col("ro").alias(f"{ORDER}2")]
+        return left.of(joined.select(*keys, *rest, *order), ordered=True)
     return left.of(joined.select(*keys, *rest))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabwright.functions.names import named
 from tabwright.frame import Frame
 from tabwright.operators.position import with_scan_position
 from tabwright.sources.files import single_file
@@ -105,7 +106,7 @@ def write_csv(frame: Frame, path: str, options: CsvOptions | None = None, one_fi
     """Write a frame with a header, in its order; into one file, or a folder of files for frames beyond one task."""
     options = CsvOptions.of(options)
     ordered = frame.data.orderBy(*frame.order_names()) if frame.order_names() else frame.data
-    text = ordered.select(*[csv_cell(F.col(f"`{n}`"), frame.type_of(n)).alias(n) for n in frame.column_names])
+    text = ordered.select(*[csv_cell(named(n), frame.type_of(n)).alias(n) for n in frame.column_names])
 
     def write(data: DataFrame, where: str) -> None:
         data.write.mode("overwrite").csv(

@@ -19,6 +19,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabwright.functions.names import named
 from tabwright.frame import Frame
 from tabwright.operators.position import with_scan_position
 from tabwright.sources.csv import normalize_headers
@@ -58,8 +59,8 @@ def _serial_time(serial: float) -> str:
     return (dt.datetime(1899, 12, 30) + dt.timedelta(days=serial)).strftime("%Y-%m-%d %H:%M:%S")
 
 
-def read_sheet(content: bytes) -> list[list[tuple[str, str] | None]]:
-    """Rows of the first sheet: (text, number | string | other) or None."""
+def read_sheet(content: bytes, which: str | int = 0) -> list[list[tuple[str, str] | None]]:
+    """Rows of a sheet, by its name or its number from 0: (text, number | string | other) or None."""
     with zipfile.ZipFile(io.BytesIO(content)) as book:
         names = set(book.namelist())
         shared = [_text(x) for x in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).findall("m:si", _NS)] if "xl/sharedStrings.xml" in names else []
@@ -68,7 +69,7 @@ def read_sheet(content: bytes) -> list[list[tuple[str, str] | None]]:
             styles = ElementTree.fromstring(book.read("xl/styles.xml"))
             own = {int(f.get("numFmtId")) for f in styles.iterfind("m:numFmts/m:numFmt", _NS) if re.search(r"[ymdhs]", re.sub(r'"[^"]*"|\[[^\]]*\]', "", f.get("formatCode", "")), re.I)}
             dates = {i for i, x in enumerate(styles.iterfind("m:cellXfs/m:xf", _NS)) if int(x.get("numFmtId", 0)) in _DATE_FORMATS | own}
-        sheet = ElementTree.fromstring(book.read(_first_sheet(book)))
+        sheet = ElementTree.fromstring(book.read(_sheet_part(book, which)))
     rows = []
     for row in sheet.iterfind("m:sheetData/m:row", _NS):
         cells: list[tuple[str, str] | None] = []
@@ -91,20 +92,23 @@ def read_sheet(content: bytes) -> list[list[tuple[str, str] | None]]:
     return rows
 
 
-def _first_sheet(book: zipfile.ZipFile) -> str:
-    workbook = ElementTree.fromstring(book.read("xl/workbook.xml"))
-    first = workbook.find("m:sheets/m:sheet", _NS)
+def _sheet_part(book: zipfile.ZipFile, which: str | int) -> str:
+    sheets = ElementTree.fromstring(book.read("xl/workbook.xml")).findall("m:sheets/m:sheet", _NS)
+    found = [s for i, s in enumerate(sheets) if which in (i, s.get("name"))]
+    if not found:
+        raise ValueError(f"no sheet {which!r}; there are {', '.join(s.get('name', '') for s in sheets)}")
+    first = found[0]
     links = ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))
     target = next(x.get("Target") for x in links if x.get("Id") == first.get(f"{{{OFFICE}}}id"))
     return target.lstrip("/") if target.startswith("/") else f"xl/{target}"
 
 
-def load_excel(spark: SparkSession, path: str, options: LoadOptions | None = None) -> Frame:
-    """A frame of a workbook's first sheet; rows without any cell are passed over, and an empty sheet is an error."""
+def load_excel(spark: SparkSession, path: str, options: LoadOptions | None = None, sheet: str | int = 0) -> Frame:
+    """A frame of a sheet of a workbook, by its name or its number from 0; rows without any cell are passed over, and an empty sheet is an error."""
     if path.lower().endswith(".xls"):
         raise ValueError("the binary .xls format isn't supported; save the workbook as .xlsx")
     options = options or LoadOptions()
-    rows = [r for r in read_sheet(read_bytes(spark, path)) if any(c is not None and c[0] != "" for c in r)]
+    rows = [r for r in read_sheet(read_bytes(spark, path), sheet) if any(c is not None and c[0] != "" for c in r)]
     if not rows:
         raise ValueError(f"{path} is empty")
     width = max(len(rows[0]), 1) if options.has_header else max(map(len, rows))
@@ -140,7 +144,7 @@ def write_excel(frame: Frame, path: str, options: ExcelOptions | None = None) ->
     names = frame.column_names
     letters = [column_letters(i) for i in range(len(names))]
     ordered = frame.data.orderBy(*frame.order_names()) if frame.order_names() else frame.data
-    rows = ordered.select(*[F.col(f"`{n}`") for n in names]).limit(MOST_ROWS).collect()
+    rows = ordered.select(*[named(n) for n in names]).limit(MOST_ROWS).collect()
     if len(rows) >= MOST_ROWS:
         raise ValueError(f"a sheet holds {MOST_ROWS - 1} rows and a header")
     lines = [f'<row r="{r}">{"".join(_cell_xml(f"{a}{r}", v) for a, v in zip(letters, cells, strict=True))}</row>' for r, cells in enumerate([names, *rows], 1)]

@@ -13,9 +13,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabwright.functions.names import POSITION, named
 from tabwright.frame import Frame
-from tabwright.functions.categorical import MOST_CATEGORIES, to_categorical
-from tabwright.operators.position import POSITION
+from tabwright.functions.categorical import to_categorical
 
 INTEGER = r"^\s*[+-]?[0-9]+\s*$"
 NUMBER = r"^\s*[+-]?([0-9][0-9,]*(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
@@ -63,39 +63,38 @@ def _as_time(c: Cell) -> Column:
     return found if c.json_type is None else F.when(c.json_type == "string", found)
 
 
-#: The types in the order in which they are tried; further ones can be put in front.
+#: The types in the order in which they are tried; ``infer`` takes other lists, with further types in front.
 INFERRERS = [("int", _as_int), ("double", _as_double), ("timestamp_ntz", _as_time)]
 
 
-def infer(data: DataFrame, cells: dict[str, Cell], threshold: float, empty_is_text: bool = False) -> Frame:
-    """Typed columns of cells over data, which has ``__pos``.
+def infer(data: DataFrame, cells: dict[str, Cell], threshold: float, empty_is_text: bool = False, inferrers: list | None = None) -> Frame:
+    """Typed columns of cells over data, which has a position.
 
     A column without any cell that isn't null is int, or text where empty_is_text
     says so and there are no rows. Text becomes categorical when its distinct
-    values are less than the threshold's share of all rows.
+    values, which are counted exactly, are less than the threshold's share of all
+    rows.
     """
+    inferrers = INFERRERS if inferrers is None else inferrers
     tests = [F.count(F.lit(1)).alias("rows")]
     for i, c in enumerate(cells.values()):
-        for kind, cast in INFERRERS:
+        for kind, cast in inferrers:
             tests.append(F.coalesce(F.bool_and(c.text.isNull() | cast(c).isNotNull()), F.lit(True)).alias(f"{kind}_{i}"))
-        tests.append(F.approx_count_distinct(c.text).alias(f"about_{i}"))
     found = data.agg(*tests).first()
     rows, columns, texts = found["rows"], [], []
     for i, (name, c) in enumerate(cells.items()):
-        kind = next((k for k, _ in INFERRERS if found[f"{k}_{i}"]), None)
+        kind = next((k for k, _ in inferrers if found[f"{k}_{i}"]), None)
         if empty_is_text and not rows:
             kind = None
         if kind is None:
-            texts.append((name, found[f"about_{i}"]))
-        columns.append((dict(INFERRERS)[kind](c) if kind else c.text).alias(name))
+            texts.append(name)
+        columns.append((dict(inferrers)[kind](c) if kind else c.text).alias(name))
     frame = Frame(data.select(*columns, POSITION))
     if not rows or threshold >= 1.0:
         return frame
-    # The exact count only where the estimate allows few enough values.
-    near = [n for n, about in texts if 0.9 * about < threshold * rows and about < 1.1 * MOST_CATEGORIES]
-    if near:
-        exact = frame.data.agg(*[F.countDistinct(F.col(f"`{n}`")).alias(f"n{i}") for i, n in enumerate(near)]).first()
-        for i, name in enumerate(near):
-            if exact[f"n{i}"] / rows < threshold and exact[f"n{i}"] <= MOST_CATEGORIES:
-                frame = to_categorical(frame, name)
+    # Distinct values are counted column by column, so that a row isn't expanded for each.
+    for name in texts:
+        distinct = frame.data.select(named(name).alias("value")).filter("value IS NOT NULL").distinct().count()
+        if distinct / rows < threshold:
+            frame = to_categorical(frame, name)
     return frame

@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabwright.functions.names import POSITION, named
 from tabwright.frame import Frame
-from tabwright.operators.position import POSITION, with_scan_position
+from tabwright.operators.position import with_scan_position
 from tabwright.sources.files import single_file
 from tabwright.sources.inference import Cell, infer
 from tabwright.sources.options import JsonOptions, JsonOrientation, LoadOptions
@@ -133,7 +134,7 @@ def write_json(frame: Frame, path: str, orientation: JsonOrientation = JsonOrien
     orientation, options = JsonOrientation(orientation), options or JsonOptions()
     names = frame.column_names
     ordered = frame.data.orderBy(*frame.order_names()) if frame.order_names() else frame.data
-    values = [json_value(F.col(f"`{n}`"), frame.type_of(n)).alias(n) for n in names]
+    values = [json_value(named(n), frame.type_of(n)).alias(n) for n in names]
     keep = {"ignoreNullFields": "false"}
     indent, gap = ("  ", "\n") if options.indented else ("", "")
     if orientation is JsonOrientation.RECORDS:
