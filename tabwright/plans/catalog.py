@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabwright.frame import Frame, Series
 from tabwright.functions import categorical, masks
@@ -41,6 +42,11 @@ def _round(frame: Frame, *names: str) -> DataFrame:
     return frame.to_spark().withColumns({n: F.round(n, 6) for n in names})
 
 
+def _rows(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
+    """What an operator gave the driver, as a table."""
+    return spark.createDataFrame(rows, schema)
+
+
 # -- filters and masks ------------------------------------------------------------
 
 
@@ -149,7 +155,7 @@ def categorical_is_in(spark, sf_dir):
 @query("SELECT count(*) FILTER (WHERE l_quantity > 45) AS selected FROM lineitem")
 def mask_count_true(spark, sf_dir):
     items = table(spark, sf_dir, "lineitem")
-    return items.data.agg(F.count_if(items["l_quantity"].greater_than(45.0).total).alias("selected"))
+    return _rows(spark, "selected long", [(items.count_true(items["l_quantity"].greater_than(45.0)),)])
 
 
 @query("SELECT position FROM (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS position, c_acctbal FROM customer) WHERE c_acctbal > 9000")
@@ -220,6 +226,13 @@ def vector_int_columns(spark, sf_dir):
     return out.to_spark().drop("p_size")
 
 
+@query("SELECT p_partkey, CAST(p_size + 7 AS INTEGER) AS p_size, CAST(p_size - 2147483648 - 1 + 4294967296 AS INTEGER) AS wrapped FROM part WHERE p_size < 1 UNION ALL SELECT p_partkey, CAST(p_size + 7 AS INTEGER), CAST(p_size - 2147483640 AS INTEGER) FROM part WHERE p_size >= 1")
+def vector_int_plus_minus_scalar(spark, sf_dir):
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    less = parts["p_size"].subtract(2147483640).renamed("wrapped")
+    return parts.add_column(less).add_column(parts["p_size"].add(7)).to_spark()
+
+
 @query(
     """SELECT p_partkey, CAST(CASE WHEN p > 2147483647 THEN p - 4294967296 ELSE p END AS INTEGER) AS p_size, half
     FROM (SELECT p_partkey, (p_size::BIGINT * 100000000) % 4294967296 AS p, p_size / 2.0::DOUBLE AS half FROM part)"""
@@ -302,8 +315,7 @@ def group_sizes(spark, sf_dir):
 
 @query(f"SELECT count(*) AS groups FROM (SELECT DISTINCT seg, c_nationkey FROM {_SEG})")
 def group_number(spark, sf_dir):
-    f = _segment_or_null(spark, sf_dir)
-    return f.data.select("seg", "c_nationkey").distinct().agg(F.count(F.lit(1)).alias("groups"))
+    return _rows(spark, "groups long", [(_segment_or_null(spark, sf_dir).group_by("seg", "c_nationkey").group_count(),)])
 
 
 @query("SELECT CAST(p_size AS VARCHAR) AS p_size, round(sum(p_retailprice), 6) AS p_retailprice FROM part GROUP BY 1")
@@ -450,6 +462,110 @@ def positions(spark, sf_dir):
     return table(spark, sf_dir, "customer", ("c_custkey",)).with_position().select("c_custkey", "position").to_spark()
 
 
+@query("SELECT c_custkey, c_acctbal, c_name, true AS refused FROM customer")
+def typed_columns(spark, sf_dir):
+    """Columns by their exact types; another type is refused."""
+    f = table(spark, sf_dir, "customer")
+    balance, name = f.column("c_acctbal", T.DoubleType()), f.string_column("c_name")
+    refused = 0
+    for wrong in (lambda: f.column("c_custkey", T.DoubleType()), lambda: f.string_column("c_acctbal")):
+        try:
+            wrong()
+        except TypeError:
+            refused += 1
+    return f.data.select("c_custkey", balance.expr.alias("c_acctbal"), name.expr.alias("c_name"), F.lit(refused == 2).alias("refused"))
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY r_regionkey) - 1 AS BIGINT) AS position, r_name, r_name AS cell FROM region")
+def cell_access(spark, sf_dir):
+    """Rows by their position, and a column's cells in order."""
+    f = table(spark, sf_dir, "region", ("r_regionkey",)).select("r_regionkey", "r_name")
+    return _rows(spark, "position long, r_name string, cell string", [(i, f.row_at(i)[1], c) for i, c in enumerate(f.cells("r_name"))])
+
+
+@query("SELECT n_name, n_regionkey FROM nation WHERE n_nationkey >= 3 AND n_nationkey < 9")
+def memory_columns(spark, sf_dir):
+    """Columns in memory made a frame; one that comes again replaces the first one's cells."""
+    cells = table(spark, sf_dir, "nation", ("n_nationkey",)).to_spark().filter("n_nationkey >= 3 AND n_nationkey < 9").collect()
+    kind = table(spark, sf_dir, "nation").type_of("n_regionkey")
+    columns = [("n_name", "string", [None] * len(cells)), ("n_regionkey", kind, [r["n_regionkey"] for r in cells]), ("N_NAME", "string", [r["n_name"] for r in cells])]
+    return Frame.from_columns(spark, columns).to_spark()
+
+
+@query("SELECT n_nationkey, n_name FROM nation ORDER BY n_nationkey LIMIT 4")
+def memory_rows(spark, sf_dir):
+    """Rows in memory made a frame, whose order is theirs."""
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    rows = sorted(map(tuple, nations.to_spark().collect()))
+    return Frame.from_rows(spark, rows, nations.visible_schema()).head(4).to_spark()
+
+
+@query("VALUES ('no key', true), ('blank key', true), ('missing key', true), ('two for one', true), ('other type', true), ('name twice', true)")
+def merge_refusals(spark, sf_dir):
+    """Joins that are errors before any row is read."""
+    customers, orders = _sides(spark, sf_dir)
+    cases = {
+        "no key": lambda: customers.merge(orders, left_on=[], right_on=[]),
+        "blank key": lambda: customers.merge(orders, left_on=[" "], right_on=["o_custkey"]),
+        "missing key": lambda: customers.merge(orders, on="c_custkey"),
+        "two for one": lambda: customers.merge(orders, left_on=["c_custkey", "c_nationkey"], right_on=["o_custkey"]),
+        "other type": lambda: customers.merge(orders, left_on=["c_acctbal"], right_on=["o_custkey"]),
+        "name twice": lambda: customers.add_column(customers["c_acctbal"].renamed("o_totalprice_x")).add_column(customers["c_acctbal"].renamed("o_totalprice")).merge(orders, left_on=["c_custkey"], right_on=["o_custkey"]),
+    }
+    found = []
+    for name, case in cases.items():
+        try:
+            case()
+            found.append((name, False))
+        except (ValueError, TypeError):
+            found.append((name, True))
+    return _rows(spark, "col0 string, col1 boolean", found)
+
+
+@query(
+    """SELECT CAST(row_number() OVER (ORDER BY first) - 1 AS BIGINT) AS position, o_orderpriority, total FROM
+    (SELECT o_orderpriority, min(o_orderkey) AS first, count(*)::DOUBLE AS total FROM orders GROUP BY 1)"""
+)
+def groups_in_order(spark, sf_dir):
+    """Groups in the order in which they first appear."""
+    counts = table(spark, sf_dir, "orders", ("o_orderkey",)).group_by("o_orderpriority").count(ordered=True)
+    return counts.with_position().to_spark().withColumnRenamed("count", "total").select("position", "o_orderpriority", "total")
+
+
+@query(
+    """SELECT CAST(row_number() OVER (ORDER BY c_custkey NULLS LAST, o_orderkey) - 1 AS BIGINT) AS position, coalesce(c_custkey, o_custkey) AS c_custkey, o_orderkey
+    FROM (SELECT c_custkey FROM customer WHERE c_nationkey < 6) FULL JOIN (SELECT o_custkey, o_orderkey FROM orders WHERE o_totalprice > 150000) ON c_custkey = o_custkey"""
+)
+def merge_in_order(spark, sf_dir):
+    """A join in the order of the left rows, their right rows, and last the right rows alone."""
+    customers, orders = _sides(spark, sf_dir)
+    joined = customers.ordered_by("c_custkey").merge(orders.ordered_by("o_orderkey"), left_on=["c_custkey"], right_on=["o_custkey"], how="outer", ordered=True)
+    return joined.with_position().select("position", "c_custkey", "o_orderkey").to_spark()
+
+
+@query(
+    """SELECT CAST(row_number() OVER (ORDER BY first, o_orderkey) - 1 AS BIGINT) AS position, o_orderkey FROM
+    (SELECT o_orderkey, min(o_orderkey) OVER w AS first, max(o_totalprice) OVER w AS most FROM orders WINDOW w AS (PARTITION BY o_custkey)) WHERE most > 300000"""
+)
+def group_filter_regrouped(spark, sf_dir):
+    """The rows of passing groups, group by group."""
+    orders = table(spark, sf_dir, "orders", ("o_orderkey",)).select("o_orderkey", "o_custkey", "o_totalprice")
+    kept = orders.group_by("o_custkey").filter({"o_totalprice": (AggFunc.MAX, lambda x: x > 300000)}, regrouped=True)
+    return kept.with_position().select("position", "o_orderkey").to_spark()
+
+
+@query(
+    """SELECT * FROM (VALUES (0, '       n_name           size  ok   '), (1, '───────────────────────────────────'), (2, '     0 NATION_0          1.5  True '),
+    (3, '   ...      ...          ...    ...'), (4, '     2 NaN       1.23457E+06  False'), (5, ''),
+    (6, '[3 rows × 3 columns]'), (7, 'dtypes:'), (8, '  n_name: object'), (9, '  size: float64'), (10, '  ok: bool'), (11, '')) AS t(line, text)"""
+)
+def display_lines(spark, sf_dir):
+    """A frame as text: first and last rows, shape and types."""
+    first = table(spark, sf_dir, "nation", ("n_nationkey",)).head(1).to_spark().first()["n_name"]
+    f = Frame.from_rows(spark, [(first, 1.5, True), ("x", 2.0, None), (None, 1234567.25, False)], "n_name string, size double, ok boolean")
+    return _rows(spark, "line int, text string", list(enumerate(f.display_string(max_rows=2).split("\n"))))
+
+
 # -- categorical -----------------------------------------------------------------------------
 
 
@@ -472,7 +588,27 @@ def value_counts(spark, sf_dir):
 @query("SELECT count(DISTINCT c_mktsegment) / count(*)::DOUBLE AS ratio FROM customer")
 def cardinality_ratio(spark, sf_dir):
     f = categorical.to_categorical(table(spark, sf_dir, "customer", ("c_custkey",)), "c_mktsegment")
-    return f.data.agg((F.lit(float(categorical.category_count(f, "c_mktsegment"))) / F.count(F.lit(1))).alias("ratio"))
+    return _rows(spark, "ratio double", [(categorical.cardinality_ratio(f, "c_mktsegment"),)])
+
+
+@query(
+    """WITH d AS (SELECT v, CAST(row_number() OVER (ORDER BY first) - 1 AS INTEGER) AS code FROM (SELECT c_mktsegment AS v, min(c_custkey) AS first FROM customer GROUP BY 1))
+    SELECT v AS value, true AS known, code, v AS decoded FROM d UNION ALL VALUES (NULL, true, -1, NULL), ('no such segment', false, -1, NULL)"""
+)
+def categorical_lookup(spark, sf_dir):
+    """Codes of values, and values of codes."""
+    f = categorical.to_categorical(table(spark, sf_dir, "customer", ("c_custkey",)), "c_mktsegment")
+    wanted = [*categorical.categories(f, "c_mktsegment"), None, "no such segment"]
+    found = [(v, *categorical.try_get_code(f, "c_mktsegment", v)) for v in wanted]
+    return _rows(spark, "value string, known boolean, code int, decoded string", [(*row, categorical.decode_category(f, "c_mktsegment", row[2])) for row in found])
+
+
+@query(f"SELECT c_custkey FROM {_SEG} WHERE seg = 'MACHINERY' OR seg IS NULL")
+def categorical_equals(spark, sf_dir):
+    f = categorical.to_categorical(_segment_or_null(spark, sf_dir), "seg")
+    known, seg = categorical.categories(f, "seg"), f["seg"]
+    every = [categorical.equals(seg, known, v) for v in ("MACHINERY", None, "no such segment")]
+    return f.where(masks.any_(*every)).select("c_custkey").to_spark()
 
 
 # -- files and streams (the same rows after a round trip) --------------------------------------
@@ -493,6 +629,89 @@ def csv_round_trip(spark, sf_dir):
     return load_csv(spark, path).to_spark()
 
 
+def _lines(spark: SparkSession, lines: list[str], ending: str) -> str:
+    """A text file of some lines."""
+    from tabwright.sources.files import write_bytes
+
+    path = f"{_scratch(spark)}.{ending}"
+    write_bytes(spark, path, bytearray("\n".join(lines).encode()))
+    return path
+
+
+@query("VALUES (0, 'id', 'int'), (1, 'Column1', 'int'), (2, 'ID_1', 'string'), (3, 'a.b', 'double'), (4, 'id_2', 'timestamp_ntz')")
+def csv_headers(spark, sf_dir):
+    """Names from a header: trimmed, blank ones by place, ones that come again numbered."""
+    from tabwright.sources.csv import load_csv
+
+    f = load_csv(spark, _lines(spark, [' id ,,ID,a.b,"id"', "1,2,x,1.5,2024-01-31", "3,4,y,2,2024-02-01"], "csv"))
+    return _rows(spark, "col0 int, col1 string, col2 string", [(i, n, f.type_of(n).simpleString()) for i, n in enumerate(f.column_names)])
+
+
+@query("SELECT CAST(s_suppkey AS INTEGER) AS \"Column0\", s_name AS \"Column1\", s_acctbal AS \"Column2\" FROM supplier")
+def csv_european_without_header(spark, sf_dir):
+    """A preset's delimiter, and names by place where there is no header."""
+    import dataclasses
+
+    from tabwright.sources.csv import load_csv, write_csv
+    from tabwright.sources.options import CsvOptions
+
+    options = dataclasses.replace(CsvOptions.european(), has_header=False)
+    path = f"{_scratch(spark)}.csv"
+    write_csv(table(spark, sf_dir, "supplier", ("s_suppkey",)).select("s_suppkey", "s_name", "s_acctbal"), path, options)
+    return load_csv(spark, path, options).to_spark()
+
+
+@query("SELECT CAST(o_orderkey AS INTEGER) AS o_orderkey, o_orderdate FROM orders")
+def csv_dates(spark, sf_dir):
+    """Times written as text and inferred again."""
+    from tabwright.sources.csv import load_csv, write_csv
+
+    path = f"{_scratch(spark)}.csv"
+    write_csv(table(spark, sf_dir, "orders", ("o_orderkey",)).select("o_orderkey", "o_orderdate"), path)
+    return load_csv(spark, path).to_spark()
+
+
+@query("VALUES (0.0, false), (0.25, false), (0.5, true), (1.0, false)")
+def load_option_thresholds(spark, sf_dir):
+    """Which thresholds make two values in six rows categorical; thresholds beyond 0 and 1 are refused."""
+    from tabwright.sources.csv import load_csv
+    from tabwright.sources.options import LoadOptions
+
+    path = _lines(spark, ["k", "a", "b", "a", "b", "a", "b"], "csv")
+    found = [(t, load_csv(spark, path, LoadOptions(categorical_threshold=t)).is_categorical("k")) for t in (0.0, 0.25, 0.5, 1.0)]
+    for wrong in (-0.1, 1.1):
+        try:
+            LoadOptions(categorical_threshold=wrong)
+            found.append((wrong, False))
+        except ValueError:
+            pass
+    return _rows(spark, "col0 double, col1 boolean", found)
+
+
+@query("SELECT p_partkey, CAST(substr(p_brand, 7) AS INTEGER) AS p_brand, p_name FROM part")
+def inferrers_in_front(spark, sf_dir):
+    """Types from cells, with a type of one's own tried first."""
+    from tabwright.operators.position import with_scan_position
+    from tabwright.sources.inference import INFERRERS, Cell, infer
+
+    data = with_scan_position(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_brand", "p_name"))
+    brand = ("int_of_brand", lambda c: F.regexp_extract(F.when(F.regexp_like(c.text, F.lit("^Brand#[0-9]+$")), c.text), "([0-9]+)", 1).try_cast("int"))
+    cells = {"p_brand": Cell(F.col("p_brand")), "p_name": Cell(F.col("p_name")), "p_partkey": Cell(F.col("p_partkey").cast("string"))}
+    f = infer(data, cells, 1.0, inferrers=[brand, *INFERRERS])
+    return f.select("p_partkey", "p_brand", "p_name").to_spark().withColumn("p_partkey", F.col("p_partkey").cast("long"))
+
+
+@query("""VALUES ('['), ('  {"x":1.5,"t":"2024-01-31T10:20:30.0000000","s":"a\\"b"}'), (','), ('  {"x":null,"t":null,"s":null}'), (','), ('  {"x":null,"t":null,"s":""}'), (''), (']')""")
+def json_values(spark, sf_dir):
+    """Cells as JSON: NaN and infinities null, times in round-trip form."""
+    from tabwright.sources.json import write_json
+
+    rows = [(1.5, dt.datetime(2024, 1, 31, 10, 20, 30), 'a"b'), (float("nan"), None, None), (float("inf"), None, "")]
+    path = f"{_scratch(spark)}.json"
+    write_json(Frame.from_rows(spark, rows, "x double, t timestamp_ntz, s string"), path)
+    return spark.read.text(path).toDF("col0")
+
+
 def _json_round_trip(orientation: str):
     name = f"json_{orientation}_round_trip"
 
