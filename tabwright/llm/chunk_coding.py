@@ -17,6 +17,7 @@ have no two cuts, until it reaches a place of agreement on both sides.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,34 +35,47 @@ LEAST, MOST, MEAN = 512, 16_384, 1024
 #: Bits of the filter of shared hashes that workers hold: 4 MB whatever the input.
 FILTER_BITS = 25
 BATCH_BYTES = 8_000_000
+#: Bytes that are hashed at once; texts are hashed together until they have so many.
+BLOCK = 1 << 16
 SAFE_CUT = re.compile(rb"(?<=[!-~]) (?=[!-~])")
 _GEAR = np.random.default_rng(20240501).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
 def _rolling(raw: np.ndarray) -> np.ndarray:
     """Gear hash of the 32 bytes up to each byte, by doubling."""
-    h = _GEAR[raw]
+    h = _GEAR.take(raw)
     for step in (1, 2, 4, 8, 16):
-        shifted = np.zeros_like(h)
-        shifted[step:] = h[:-step] << np.uint32(step)
-        h = h + shifted
+        h[step:] += h[:-step] << np.uint32(step)
     return h
 
 
-def chunk_ends(raw: bytes) -> list[int]:
-    """Ends of the chunks of UTF-8 bytes, none inside a character; [] for none."""
+def _marks(raw: bytes) -> list[int]:
+    """Ends of all bytes at which a chunk may end."""
+    codes, found = np.frombuffer(raw, dtype=np.uint8), []
+    for at in range(0, len(codes), BLOCK):
+        before = min(at, 31)  # what the first hashes look back on
+        h = _rolling(codes[at - before : at + BLOCK])[before:]
+        # High bits, as these depend on all 32 bytes.
+        found += (np.flatnonzero(h >> np.uint32(32 - MEAN.bit_length() + 1) == 0) + (at + 1)).tolist()
+    return found
+
+
+def chunk_ends(raw: bytes, marks: list[int] | None = None, base: int = 0) -> list[int]:
+    """Ends of the chunks of UTF-8 bytes, none inside a character; [] for none.
+
+    marks: those of bytes that hold raw from base on. What lies before it has no
+    say, as a chunk's first LEAST bytes exceed what a hash looks back on.
+    """
     size = len(raw)
     if size <= LEAST:
         return [size] if size else []
-    codes = np.frombuffer(raw, dtype=np.uint8)
-    # High bits, as these depend on all 32 bytes.
-    marks = np.flatnonzero(_rolling(codes) >> np.uint32(32 - MEAN.bit_length() + 1) == 0) + 1
-    ends, at, k = [], 0, 0
+    if marks is None:
+        marks = _marks(raw)
+    ends, at = [], 0
     while size - at > LEAST:
-        k = int(np.searchsorted(marks, at + LEAST))
-        end = int(marks[k]) if k < len(marks) else size
-        end = min(end, at + MOST, size)
-        while end < size and codes[end] & 0xC0 == 0x80:
+        k = bisect_left(marks, base + at + LEAST)
+        end = min(marks[k] - base if k < len(marks) else size, at + MOST, size)
+        while end < size and raw[end] & 0xC0 == 0x80:
             end += 1
         ends.append(end)
         at = end
@@ -70,10 +84,10 @@ def chunk_ends(raw: bytes) -> list[int]:
     return ends
 
 
-def chunks(raw: bytes) -> Iterator[tuple[int, int, bytes]]:
+def chunks(raw: bytes, ends: list[int]) -> Iterator[tuple[int, int, bytes]]:
     """(start, end, 128-bit hash) of each chunk."""
     at = 0
-    for end in chunk_ends(raw):
+    for end in ends:
         yield at, end, xxhash.xxh3_128_digest(raw[at:end])
         at = end
 
@@ -111,11 +125,24 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
-    """(doc_id, UTF-8) of each row, a null text as none."""
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes, list[int]]]:
+    """(doc_id, UTF-8, ends of its chunks) of each row, a null text as none."""
+
+    def cut(rows: list[tuple[int, bytes]]) -> Iterator[tuple[int, bytes, list[int]]]:
+        marks, base = _marks(b"".join(raw for _, raw in rows)), 0
+        for doc_id, raw in rows:
+            yield doc_id, raw, chunk_ends(raw, marks, base)
+            base += len(raw)
+
     for batch in batches:
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-            yield doc_id, (text.as_py() or "").encode()
+        held, size = [], 0
+        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.large_binary()), strict=True):
+            held.append((doc_id, text.as_py() or b""))
+            size += len(held[-1][1])
+            if size >= BLOCK:
+                yield from cut(held)
+                held, size = [], 0
+        yield from cut(held)
 
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,19 +150,19 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("hash", pa.binary()), ("times", pa.int64())])
 
     def rows() -> Iterator[tuple]:
-        for _, raw in _texts(batches):
+        for _, raw, ends in _texts(batches):
             found: dict[bytes, int] = {}
-            for _, _, digest in chunks(raw):
+            for _, _, digest in chunks(raw, ends):
                 found[digest] = found.get(digest, 0) + 1
             yield from found.items()
 
     return _batches(rows(), schema)
 
 
-def _parts(raw: bytes, shared: np.ndarray) -> Iterator[tuple[bytes | None, int, int]]:
+def _parts(raw: bytes, ends: list[int], shared: np.ndarray) -> Iterator[tuple[bytes | None, int, int]]:
     """A text's parts in order: (hash, start, end) of the cores of chunks in the filter, (None, start, end) of what is between."""
     at = 0
-    for start, end, digest in chunks(raw):
+    for start, end, digest in chunks(raw, ends):
         slot = _slot(digest)
         if shared[slot >> 3] >> (slot & 7) & 1 and (kept := core(raw[start:end])):
             if start + kept[0] > at:
@@ -153,8 +180,8 @@ def _dictionary_texts(shared):
         seen: set[bytes] = set()
 
         def rows() -> Iterator[tuple]:
-            for _, raw in _texts(batches):
-                for digest, a, b in _parts(raw, shared.value):
+            for _, raw, ends in _texts(batches):
+                for digest, a, b in _parts(raw, ends, shared.value):
                     if digest is not None and digest not in seen:
                         seen.add(digest)
                         yield digest, raw[a:b]
@@ -185,8 +212,8 @@ def _encode_alone(path: str, shared, decoded: bool):
         for batch in batches:
 
             def rows() -> Iterator[tuple]:
-                for doc_id, raw in _texts([batch]):
-                    if all(digest is None for digest, _, _ in _parts(raw, shared.value)):
+                for doc_id, raw, ends in _texts([batch]):
+                    if all(digest is None for digest, _, _ in _parts(raw, ends, shared.value)):
                         ids = coder.encode(raw.decode())
                         yield doc_id, np.array(ids, dtype="<u4").tobytes(), *([coder.decode(ids)] if decoded else [])
 
@@ -204,8 +231,8 @@ def _encode_parts(path: str, shared):
         for batch in batches:
 
             def rows() -> Iterator[tuple]:
-                for key, (doc_id, raw) in zip(batch.column("key").to_pylist(), _texts([batch]), strict=True):
-                    parts = list(_parts(raw, shared.value))
+                for key, (doc_id, raw, ends) in zip(batch.column("key").to_pylist(), _texts([batch]), strict=True):
+                    parts = list(_parts(raw, ends, shared.value))
                     if any(digest is not None for digest, _, _ in parts):
                         for place, (digest, a, b) in enumerate(parts):
                             yield doc_id, key, place, digest, None if digest is not None else _ids(coder, raw[a:b])

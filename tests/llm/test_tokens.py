@@ -48,8 +48,36 @@ def test_chunks_cover_the_text_and_repeat():
         assert ends == sorted(set(ends)) and (ends[-1:] == [len(raw)] if raw else ends == [])
         assert all(len(raw) == e or raw[e] & 0xC0 != 0x80 for e in ends)
         assert all(y - x <= chunk_coding.MOST + 3 for x, y in zip([0, *ends], ends, strict=False))
-    found = [{h for _, _, h in chunk_coding.chunks(raw)} for raw in (a, b)]
-    assert len(found[0] & found[1]) >= 0.7 * len(list(chunk_coding.chunks(shared)))
+    found = [{h for _, _, h in chunk_coding.chunks(raw, chunk_coding.chunk_ends(raw))} for raw in (a, b)]
+    assert len(found[0] & found[1]) >= 0.7 * len(chunk_coding.chunk_ends(shared))
+
+
+def test_texts_cut_together_are_cut_as_alone():
+    """By the rule itself: a hash of the 32 bytes up to an end, byte by byte."""
+    rng = np.random.default_rng(8)
+    sizes = [0, 1, chunk_coding.LEAST, chunk_coding.LEAST + 1, 3000, 700, 20_000, 0, 900, chunk_coding.BLOCK + 5000, 5000]
+    texts = [bytes(rng.integers(97, 123, n, dtype=np.uint8)) for n in sizes]
+    texts += ["é😀".encode() * 4000, b"x" * 40_000]
+
+    def ends_of(raw):
+        marks, h, gear = set(), 0, chunk_coding._GEAR.tolist()
+        for i, byte in enumerate(raw):
+            h = (h << 1) + gear[byte] & 0xFFFFFFFF
+            if h >> 22 == 0:
+                marks.add(i + 1)
+        ends, at = [], 0
+        while len(raw) - at > chunk_coding.LEAST:
+            last = min(at + chunk_coding.MOST, len(raw))
+            at = next((e for e in range(at + chunk_coding.LEAST, last) if e in marks), last)
+            while at < len(raw) and raw[at] & 0xC0 == 0x80:
+                at += 1
+            ends.append(at)
+        return ends + [len(raw)] * (at < len(raw))
+
+    marks, base = chunk_coding._marks(b"".join(texts)), 0
+    for raw in texts:
+        assert chunk_coding.chunk_ends(raw, marks, base) == chunk_coding.chunk_ends(raw) == ends_of(raw)
+        base += len(raw)
 
 
 @pytest.mark.parametrize("raw", [b"a b c d", b"x  y z", b" a b", b"a b ", b"nospace", "é é a b é".encode()])
