@@ -281,11 +281,14 @@ def encode(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", toke
     dictionary = materialize(cores.mapInArrow(_encode_dictionary(path), "hash binary, ids binary"), "bpe-dictionary", compression="zstd")
     alone = texts.mapInArrow(_encode_alone(path, shared, decoded), f"{id_field}, ids binary" + ", decoded string" * decoded)
     parts = keyed.mapInArrow(_encode_parts(path, shared), f"{id_field}, key long, place long, hash binary, own binary")
+    parts = materialize(parts, "bpe-parts", compression="zstd")
+    # Only references meet the dictionary; a text's own parts go around the join.
+    own = parts.filter("hash IS NULL").select("key", "doc_id", "place", F.col("own").alias("ids"))
+    references = parts.filter("hash IS NOT NULL").join(dictionary, "hash").select("key", "doc_id", "place", "ids")
     whole = (
-        parts.join(dictionary, "hash", "left")
-        .select("key", "doc_id", F.struct("place", F.coalesce("own", "ids").alias("ids")).alias("part"))
+        own.unionAll(references)
         .groupBy("key")
-        .agg(F.min("doc_id").alias("doc_id"), F.collect_list("part").alias("parts"))  # of one document
+        .agg(F.min("doc_id").alias("doc_id"), F.collect_list(F.struct("place", "ids")).alias("parts"))  # of one document
     )
     joined = F.unhex(F.array_join(F.transform(F.sort_array("parts"), lambda part: F.hex(part["ids"])), ""))
     found = whole.select("doc_id", joined.alias("ids"))
