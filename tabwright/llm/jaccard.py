@@ -11,10 +11,12 @@ Meeting pairs are first held against each other by bitmaps of about as many bits
 a set has shingles, each bit the parity of the shingles that fall on it. Two bitmaps
 differ in no more bits than the sets do in shingles, so this clears pairs without
 missing any (as Sandes, Teodoro and Melo 2020). What is left is verified on the
-whole sets. First each bucket's members are held against one pivot; then, in
-buckets whose members are still in several components, the members outside the
-largest one against the rest. So no link between different components is lost and
-a group of near copies isn't expanded into all its pairs.
+whole sets. Pairs that the caller knows of, as ``simhash`` does, are verified
+before any search, and buckets only join what these leave apart. There each bucket's
+members are held against one pivot; then, in buckets whose members are still in
+several components, the members outside the largest one against the rest. So no link
+between different components is lost and a group of near copies isn't expanded into
+all its pairs.
 
 Sets, not documents, are the nodes: copies collapse first.
 """
@@ -126,12 +128,13 @@ def prefixes(text: Column, shingle: int, similarity: Fraction, common: list[int]
     return run(text)
 
 
-def link_sets(prints: DataFrame, texts: DataFrame, shingle: int, similarity: float, label: str = "jaccard") -> DataFrame:
+def link_sets(prints: DataFrame, texts: DataFrame, known: DataFrame, shingle: int, similarity: float, label: str = "jaccard") -> DataFrame:
     """(node, root) of every set linked to another, root the least node reachable.
 
     prints: a bigint ``__at`` that names a row, and the fields of ``set_sizes``;
-    texts: ``__at`` and ``__text``. Sets link at a Jaccard similarity of so much or
-    more, empty ones never.
+    texts: ``__at`` and ``__text``; known: a table of pairs of nodes a < b that are
+    likely to link. Sets link at a Jaccard similarity of so much or more, empty ones
+    never; known pairs aren't taken on trust, and the links are the same whatever they are.
     """
     share = Fraction(similarity).limit_denominator(10_000)
     p, both = share.numerator, share.numerator + share.denominator
@@ -148,7 +151,7 @@ def link_sets(prints: DataFrame, texts: DataFrame, shingle: int, similarity: flo
     marks = materialize(bit_filter(shared, "token"), f"{label}-filter")
     # Rows of other shingles are cleared before the shuffle, and copies collapse.
     index = with_hit(index, "token", marks, "hit").filter("hit").drop("hit").distinct()
-    index = materialize(index.join(shared, "token", "left_semi"), f"{label}-index")
+    index = index.join(shared, "token", "left_semi")
 
     def may_reach(a: str, b: str) -> Column:
         """Whether the shingles from the shared one on suffice."""
@@ -190,14 +193,19 @@ def link_sets(prints: DataFrame, texts: DataFrame, shingle: int, similarity: flo
             discard(table)
         return links
 
-    pivots = index.groupBy("token").agg(F.min(F.struct("place", "node", "n")).alias("r"))
-    first = index.alias("l").join(pivots, "token").filter("l.node <> r.node").filter(may_reach("l", "r")).select(*pair("l", "r")).distinct()
-    first = materialize(first, f"{label}-first")
-    links = verified(first, "first")
+    alike = verified(known, "known")
+    joined = connected_components(alike, f"{label}-known")
+
+    # Buckets of one component are done. Those of several: members of others than the pivot's are held against it.
+    rooted = materialize(index.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node")), f"{label}-rooted")
+    pivots = rooted.groupBy("token").agg(F.min(F.struct("place", "node", "n", "root")).alias("r"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
+    first = rooted.alias("l").join(pivots.select("token", "r"), "token").filter("l.root <> r.root").filter(may_reach("l", "r")).select(*pair("l", "r")).distinct()
+    first = materialize(first.join(known, ["a", "b"], "left_anti"), f"{label}-first")
+    links = alike.unionAll(verified(first, "first"))
     roots = connected_components(links, f"{label}-stars")
 
     # What the pivots left apart: members of a bucket in different components.
-    placed = materialize(index.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), f"{label}-placed")
+    placed = materialize(rooted.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), f"{label}-placed")
     sizes = placed.groupBy("token", "root").agg(F.count(F.lit(1)).alias("members"))
     split = sizes.groupBy("token").agg(F.max_by("root", F.struct("members", "root")).alias("major"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
     split = materialize(split.select(F.col("token").alias("at"), "major"), f"{label}-split")
@@ -205,8 +213,8 @@ def link_sets(prints: DataFrame, texts: DataFrame, shingle: int, similarity: flo
     open_tokens = materialize(bit_filter(split, "at"), f"{label}-open")
     rest = with_hit(placed, "token", open_tokens, "hit").filter("hit").drop("hit")
     second = minor.alias("l").join(rest.alias("r"), (F.col("l.token") == F.col("r.token")) & (F.col("l.root") != F.col("r.root")) & may_reach("l", "r"))
-    second = materialize(second.select(*pair("l", "r")).distinct().join(first, ["a", "b"], "left_anti"), f"{label}-second")
-    done = [heads, shared, marks, index, first, links, placed, split, minor, open_tokens, second]
+    second = materialize(second.select(*pair("l", "r")).distinct().join(known.unionAll(first), ["a", "b"], "left_anti"), f"{label}-second")
+    done = [heads, shared, marks, joined, rooted, first, links, placed, split, minor, open_tokens, second]
     result = roots
     if not second.isEmpty():
         more = verified(second, "second")

@@ -216,12 +216,35 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     )
 
 
-def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 5, similarity: float = 0.8, label: str = "dedup") -> DataFrame:
+def near_sets(prints: DataFrame, max_bits: int, label: str = "simhash") -> DataFrame:
+    """(a, b): the shingle sets of each class of fingerprints, b, beside the least one, a.
+
+    prints: a fingerprint f, and node and n of ``jaccard.set_sizes``; empty sets are
+    passed over. Classes are what links of max_bits or fewer differing bits join.
+    """
+    sets = materialize(prints.filter("n > 0").select("f", "node").distinct(), f"{label}-sets")
+    nodes = materialize(sets.select("f").distinct(), f"{label}-nodes")
+    linked = link_components(nodes, max_bits, label)
+    classed = sets.join(linked.withColumnRenamed("node", "linked"), F.col("f") == F.col("linked"), "left")
+    classed = materialize(classed.select(F.coalesce("root", "f").alias("class"), "node").distinct(), f"{label}-classed")
+    least = classed.groupBy("class").agg(F.min("node").alias("a"), F.max("node").alias("last")).filter("a <> last").select("class", "a")
+    least = materialize(least, f"{label}-least")
+    pairs = materialize(classed.join(least, "class").filter("node <> a").select("a", F.col("node").alias("b")).distinct(), f"{label}-pairs")
+    for table in (sets, nodes, linked, classed, least):
+        discard(table)
+    return pairs
+
+
+def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 5, similarity: float = 0.8, max_bits: int = 4, label: str = "dedup") -> DataFrame:
     """The rows of docs without near duplicates: of each class the row of the least id (null last) stays.
 
     Texts are near duplicates at a Jaccard similarity of so much or more between
-    their sets of shingles, which is exact (``jaccard.link_sets``), and classes are
-    what such links join. Texts without words are all alike. Of rows of one id in a
+    their sets of shingles, and classes are what such links join. Texts whose
+    fingerprints differ in max_bits or fewer are found through their signatures
+    (``near_sets``) and verified on their whole sets. A similarity of 0.8 often means
+    more bits than signatures can find, so ``jaccard.link_sets`` then looks for links
+    between the classes so joined, and misses none; max_bits decides which step finds
+    a link, never the result. Texts without words are all alike. Of rows of one id in a
     class, one stays. All columns of docs are returned, and no others; they are
     carried in one struct, so their names don't matter. Texts aren't copied: rows are
     known by their places, and those that stay are read from docs again.
@@ -229,9 +252,10 @@ def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sh
     whole = keyed(docs, f"{label}-docs")
     text = F.col(f"__row.`{text_col}`")
     at = F.xxhash64("__key").alias("__at")
-    prints = whole.select("__key", at, F.col(f"__row.`{id_col}`").alias("id"), set_sizes(text, shingle).alias("__s"))
-    prints = materialize(prints.select("__key", "__at", "id", "__s.*"), f"{label}-prints", compression="zstd")
-    linked = link_sets(prints, whole.select(at, text.alias("__text")), shingle, similarity, label)
+    prints = whole.select("__key", at, F.col(f"__row.`{id_col}`").alias("id"), simhash(text, shingle).alias("f"), set_sizes(text, shingle).alias("__s"))
+    prints = materialize(prints.select("__key", "__at", "id", "f", "__s.*"), f"{label}-prints", compression="zstd")
+    near = near_sets(prints, max_bits, f"{label}-simhash")
+    linked = link_sets(prints, whole.select(at, text.alias("__text")), near, shingle, similarity, label)
     copied = prints.groupBy("node").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1").select("node")
     classes = linked.select("node", F.col("root").alias("class")).union(copied.join(linked, "node", "left_anti").select("node", F.col("node").alias("class")))
     # A hot class is read from a table, so that its rows are split.
@@ -239,6 +263,6 @@ def keep_one(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sh
     members = materialize(prints.join(classes, "node").select("__key", "id", "class"), f"{label}-members")
     first = members.groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__key")).alias("first")).select("first.__key")
     others = materialize(members.select("__key").join(first, "__key", "left_anti"), f"{label}-others")
-    for table in (prints, linked, classes, members):
+    for table in (prints, near, linked, classes, members):
         discard(table)
     return without_keys(whole, others, "__key").select("__row.*")

@@ -3,7 +3,7 @@
 import duckdb
 import numpy as np
 
-from tabwright.llm import simhash
+from tabwright.llm import jaccard, simhash
 
 
 def shingles(text):
@@ -59,3 +59,43 @@ def test_pairs_about_the_threshold(spark):
     rows = [(i, " ".join(words)) for i, words in enumerate(rows)]
     kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
     assert kept == keep_one(rows)
+
+
+def test_signatures_find_links_first(spark, monkeypatch):
+    """Fingerprints link sets, which are verified; whatever they propose, all links are found and no other."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for _ in range(12):
+        base = [f"w{k}" for k in rng.integers(10**9, size=300)]
+        rows += [base, [*base[:-1], "end"], ["start", *base[1:]], base[:265], base[:200]]
+    rows = [(i, " ".join(words)) for i, words in enumerate(rows)] + [(90, "few"), (91, None), (92, ""), (93, "few")]
+    docs, want = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), keep_one(rows)
+    nodes = {i: jaccard.node_of(jaccard.shingle_set(t)) for i, t in rows[:60]}
+    prints = {i: simhash.fingerprint(t, 5) for i, t in rows[:60]}
+    close = {tuple(sorted((nodes[i], nodes[j]))) for i in nodes for j in nodes if i < j and ((prints[i] ^ prints[j]) & (2**64 - 1)).bit_count() <= 4}
+    top = {n: n for n in nodes.values()}
+    for a, b in sorted(close) * 5:
+        top[a] = top[b] = min(top[a], top[b])
+    assert len(want) == 26 and 24 < len(set(top.values())) < 60  # signatures find some of the links in these 24 groups, not all
+    found, searched = [], []
+    near_sets, link_sets = simhash.near_sets, simhash.link_sets
+
+    def seen(prints, max_bits, label):
+        pairs = near_sets(prints, max_bits, label)
+        found.append({(r["a"], r["b"]) for r in pairs.collect()})
+        return pairs
+
+    def handed(prints, texts, known, *rest):
+        searched.append({(r["a"], r["b"]) for r in known.collect()})
+        return link_sets(prints, texts, known, *rest)
+
+    monkeypatch.setattr(simhash, "near_sets", seen)
+    monkeypatch.setattr(simhash, "link_sets", handed)
+    assert {r["doc_id"] for r in simhash.keep_one(docs).collect()} == want
+    assert found == searched == [{(t, n) for n, t in top.items() if n != t}]
+
+    every = sorted({*nodes.values(), jaccard.node_of(jaccard.shingle_set("few"))})
+    for proposed in ([(every[0], b) for b in every[1:]], []):
+        table = spark.createDataFrame(proposed, "a long, b long")
+        monkeypatch.setattr(simhash, "near_sets", lambda *_, table=table: table)
+        assert {r["doc_id"] for r in simhash.keep_one(docs).collect()} == want
